@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import byte_bpe, line_dedup, mixing, token_store
 from .common import documents
 from .oracles import ORACLES
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies; executors have the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "position"
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    return coded.drop("ids")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256")
@@ -24,7 +40,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_token_store": op4_token_store,
         "op5_mixing": op5_mixing,
+        "op8_byte_bpe": op8_byte_bpe,
         "op10_line_dedup": op10_line_dedup,
     }
 
