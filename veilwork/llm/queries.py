@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, token_store
+from . import byte_bpe, line_dedup, mixing, token_store, toxicity
 from .common import documents
 from .oracles import ORACLES
 
@@ -32,6 +32,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    graded = toxicity.grade_documents(documents(spark, sf_dir), labels)
+    return graded.select("doc_id", "severity", "p_toxic", "toxic")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256")
@@ -43,6 +49,7 @@ def queries() -> dict:
         "op4_token_store": op4_token_store,
         "op5_mixing": op5_mixing,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_toxicity": op9_toxicity,
         "op10_line_dedup": op10_line_dedup,
     }
 
