@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import blocks
 from .piece_store import PieceStore, expand, per_text
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -36,7 +37,7 @@ L, N, O, A1, A2, SP, WSL, WS = range(8)
 #: States: nothing open, in letters, in numbers, in others, after an attached space, in white space, one or two letters of a contraction left.
 NONE, IN_L, IN_N, IN_O, AFTER_SP, IN_WS, C1, C2 = range(8)
 BLOCK = 64
-CACHE_PIECES = 900_000
+CACHE_PIECES = 600_000
 #: Longer pieces (bytes) are merged one at a time with a heap.
 LONG_PIECE = 64
 
@@ -328,33 +329,35 @@ def coder(path: str, classes: bytes) -> ByteBpe:
     return _CODERS[path]
 
 
-def encode(docs: DataFrame, ranks: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, with_ids: bool = True) -> DataFrame:
     """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` for each row of ``docs``; ids as little-endian 32-bit integers.
 
-    ``ranks``: path of the rank file, which every executor has.
+    ``ranks``: path of the rank file, which every executor has. ``with_ids`` off leaves the ids out.
     """
     classes = class_table()
 
+    def some(keys: pd.Series, texts: list[str], bpe: ByteBpe) -> pd.DataFrame:
+        ids, n = bpe.encode(texts)
+        raw = ids.astype("<u4").data.cast("B")
+        ends = np.cumsum(n).tolist()
+        cuts = list(zip([0, *ends], ends))
+        out = {"doc_id": keys}
+        if with_ids:
+            out["ids"] = [bytes(raw[4 * a : 4 * z]) for a, z in cuts]
+        out["n_tokens"] = n
+        out["ids_sha256"] = [hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in cuts]
+        out["decoded_sha256"] = [hashlib.sha256(bpe.decode(ids[a:z])).hexdigest() for a, z in cuts]
+        return pd.DataFrame(out)
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(ranks, classes)
         for b in batches:
-            ids, n = bpe.encode(b["text"].tolist())
-            raw = ids.astype("<u4").data.cast("B")
-            ends = np.cumsum(n).tolist()
-            cuts = list(zip([0, *ends], ends))
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "ids": [bytes(raw[4 * a : 4 * z]) for a, z in cuts],
-                    "n_tokens": n,
-                    "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in cuts],
-                    "decoded_sha256": [hashlib.sha256(bpe.decode(ids[a:z])).hexdigest() for a, z in cuts],
-                }
-            )
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        each, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            texts = b["text"].tolist()
+            for part in blocks(texts):
+                yield some(b["doc_id"].iloc[part].reset_index(drop=True), texts[part], bpe)
+
+    schema = "doc_id long, " + "ids binary, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, schema)
 
 
 __all__ = ["ByteBpe", "Merger", "boundaries", "class_table", "coder", "encode", "expand", "scan"]

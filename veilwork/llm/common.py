@@ -72,3 +72,15 @@ def word_count(c: Column) -> Column:
 
 def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
+
+
+def blocks(texts: list, limit: int = 1_000_000):
+    """Slices of ``texts`` with about ``limit`` characters each (a longer text makes one of its own): bounds a worker's memory."""
+    start, room = 0, 0
+    for k, t in enumerate(texts):
+        if room and room + len(t) > limit:
+            yield slice(start, k)
+            start, room = k, 0
+        room += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))

@@ -28,8 +28,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = byte_bpe.encode(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
-    return coded.drop("ids")
+    return byte_bpe.encode(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
