@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, token_store, toxicity
+from . import byte_bpe, line_dedup, mixing, simhash, token_store, toxicity
 from .common import documents
 from .oracles import ORACLES
 
@@ -21,6 +21,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "position"
@@ -45,6 +49,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_simhash": op3_simhash,
         "op4_token_store": op4_token_store,
         "op5_mixing": op5_mixing,
         "op8_byte_bpe": op8_byte_bpe,
