@@ -56,4 +56,64 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from j group by doc_id
 """
 
-ORACLES = {"op5_mixing": OP5, "op10_line_dedup": OP10}
+OP1 = """
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as p from d),
+g as (
+  select doc_id, p, array_to_string(list_slice(ws, p, p + 19), ' ') as g
+  from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as p from d)),
+r as (select doc_id, p, row_number() over (partition by g order by doc_id, p) as k from g),
+c as (select distinct doc_id, unnest(range(p, p + 20)) as p from r where k > 1),
+j as (select w.*, c.p is not null as gone from w left join c on w.doc_id = c.doc_id and w.p = c.p),
+n as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed,
+         string_agg(w, ' ' order by p) filter (not gone) as kept
+  from j group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join n on d.doc_id = n.doc_id
+"""
+
+OP6 = """
+with d as (
+  select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
+w as (
+  select r, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as w,
+         generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) as p from d),
+g as (
+  select r, p, w || ' ' || lead(w) over o || ' ' || lead(w, 2) over o as g
+  from w window o as (partition by r order by p)),
+t as (select r, p from (select *, count(*) over (partition by r, g) as n from g where g is not null) where n > 1),
+c as (select r, count(distinct q) as n_repeat_words from (select r, unnest([p, p + 1, p + 2]) as q from t) group by r),
+l as (select r, source, text, unnest(string_split(text, chr(10))) as line from d),
+k as (
+  select *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+                                     '[\\x20\\x09-\\x0D]+', ' ', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+f as (select source, key from k group by source, key having count(distinct text) > 20),
+x as (
+  select k.r, count(*) - count(distinct line) as n_dup_lines,
+         coalesce(sum(len(string_split(k.key, ' '))) filter (f.key is not null), 0) as gone
+  from k left join f on k.key = f.key and k.source is not distinct from f.source group by k.r),
+m as (
+  select d.doc_id, cast(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as bigint) as n_words,
+         cast(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) as bigint) as word_chars,
+         cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+         cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
+         cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+         cast(coalesce(gone, 0) as bigint) as n_line_words_removed
+  from d left join c on d.r = c.r left join x on d.r = x.r)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)
+       and n_words - n_line_words_removed >= 0.5 * n_words as kept
+from m
+"""
+
+ORACLES = {
+    "op1_substring_dedup": OP1,
+    "op5_mixing": OP5,
+    "op6_quality": OP6,
+    "op10_line_dedup": OP10,
+}
