@@ -31,6 +31,21 @@ def _placed(gaps: Column, hits: Column) -> Column:
     )
 
 
+def found(text: Column, pattern: str, gate: Column | None = None, **tags: Column) -> Column:
+    """``struct<hits, gaps, tags>`` of all matches, null if there are none; ``placed`` gives their spans.
+
+    Many of these share one ``placed``, so the plan stays small.
+    """
+    use = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")
+    extra = [c.alias(name) for name, c in tags.items()]
+    return F.when(F.coalesce(use, F.lit(False)), F.struct(hits, F.split(text, pattern, -1).alias("gaps"), *extra))
+
+
+def placed(entry: Column) -> Column:
+    return _placed(entry["gaps"], entry["hits"])
+
+
 def match_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """``array<struct<start, end, text>>`` of all matches; null text gives none.
 

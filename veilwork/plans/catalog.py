@@ -1,17 +1,475 @@
-"""All registered queries of the core engine."""
+"""All registered queries of the core engine, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilwork.functions.detect import ScanOptions, all_spans, detect, mask, mask_by_search, mask_needles, mask_runs, needles, resolve
+from veilwork.functions.names import AMBIGUOUS, DEFAULT_NAMES, names_frame
+from veilwork.functions.patterns import CATEGORIES, FERPA, HEADER_RULES, HIPAA, TOKEN
+from veilwork.operators import manifest as man
+from veilwork.operators import presets, report, runs, tabular
+from veilwork.sources.files import table_units
+from veilwork.streaming import live
+
+from . import oracle
+from .samples import MIXED, SAMPLES, units, units_sql
+
+DOCS = ("documents", "doc_id", "text")
+TALK = ("conversations", "conv_id", "text")
+LITERALS = ["ab cd", "cd ef gh", "gh ij kl mn"]
+CUSTOM_PATTERN = r"\b\d{16}\b"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def listed(keyed: DataFrame, spans) -> DataFrame:
+    found = keyed.select("key", F.explode(spans).alias("m"))
+    return found.select(
+        "key",
+        F.col("m.start").alias("span_start"),
+        F.col("m.end").alias("span_end"),
+        F.col("m.category").alias("category"),
+        F.col("m.text").alias("span_text"),
+    )
+
+
+LIST_SQL = "select r.key, s as span_start, e as span_end, category, substring(t.text, s + 1, e - s) as span_text from r join t on t.key = r.key"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return QUERIES["detect_all_counts"](spark, sf_dir)
+
+
+# ---- detection ----------------------------------------------------------------------------------
+
+
+def _register_category(key: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return listed(report.spread(units(spark, sf_dir, SAMPLES[key])), detect(F.col("text"), ScanOptions([key])))
+
+    query(f"detect_{key}", f"{oracle.resolved(units_sql(SAMPLES[key]), [key])} {LIST_SQL}")(run)
+
+
+for _key in CATEGORIES:
+    _register_category(_key)
+
+COUNT_SQL = "select category, count(*) as n from r group by category"
+
+
+def _counts(spark: SparkSession, sf_dir: str, opts: ScanOptions) -> DataFrame:
+    found = report.spread(units(spark, sf_dir, DOCS)).select(F.col("key").alias("file_id"), "text")
+    return report.scan(found, opts).groupBy("category").agg(F.sum("n").alias("n"))
+
+
+def _register_counts(name: str, categories: list[str]) -> None:
+    query(name, f"{oracle.resolved(units_sql(DOCS), categories)} {COUNT_SQL}")(
+        lambda spark, sf_dir: _counts(spark, sf_dir, ScanOptions(list(categories)))
+    )
+
+
+_register_counts("detect_all_counts", list(CATEGORIES))
+_register_counts("preset_ferpa_counts", list(FERPA))
+_register_counts("preset_hipaa_counts", list(HIPAA))
+
+
+@query("spans_emails_offsets", f"{oracle.resolved(units_sql(DOCS), ['emails'])} {LIST_SQL}")
+def spans_emails_offsets(spark, sf_dir):
+    return listed(report.spread(units(spark, sf_dir, DOCS)), detect(F.col("text"), ScanOptions(["emails"])))
+
+
+@query("detect_emails_by_lang", rf"""
+    select lang, cast(sum(len(regexp_extract_all(coalesce(text, ''), {oracle.quoted(CATEGORIES['emails'].patterns[0])}))) as bigint) as n
+    from documents group by lang""")
+def detect_emails_by_lang(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy("lang").agg(F.sum(F.size(detect(F.col("text"), ScanOptions(["emails"])))).alias("n"))
+
+
+@query("conversations_counts", f"{oracle.resolved('select conv_id * 1000 + turn as key, text from conversations', list(CATEGORIES))} {COUNT_SQL}")
+def conversations_counts(spark, sf_dir):
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = table_units(talk, "conv_id", "text", "turn")
+    return report.scan(found).groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@query("pages_counts", f"{oracle.resolved('select page_id as key, html as text from pages', list(CATEGORIES))} {COUNT_SQL}")
+def pages_counts(spark, sf_dir):
+    found = table_units(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return report.scan(report.spread(found)).groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@query("validator_mac", f"{oracle.resolved(units_sql(SAMPLES['devices']), ['devices'])} select count(*) as n, count(distinct key) as n_keys from r")
+def validator_mac(spark, sf_dir):
+    found = listed(units(spark, sf_dir, SAMPLES["devices"]), detect(F.col("text"), ScanOptions(["devices"])))
+    return found.agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"))
+
+
+@query("custom_regex", f"{oracle.resolved(units_sql(DOCS), [], [('custom', '(?i)' + CUSTOM_PATTERN)])} {LIST_SQL}")
+def custom_regex(spark, sf_dir):
+    return listed(units(spark, sf_dir, DOCS), detect(F.col("text"), ScanOptions([], patterns=[CUSTOM_PATTERN, "(", " "])))
+
+
+_LITERAL_SQL = [("custom", rf"(?i)\b{x}\b") for x in LITERALS]
+
+
+@query("custom_literal", f"{oracle.resolved(units_sql(MIXED), [], _LITERAL_SQL)} {LIST_SQL}")
+def custom_literal(spark, sf_dir):
+    return listed(units(spark, sf_dir, MIXED), detect(F.col("text"), ScanOptions([], literals=LITERALS)))
+
+
+# ---- overlaps -----------------------------------------------------------------------------------
+
+
+@query("all_hits", f"{oracle.spans(units_sql(MIXED), list(CATEGORIES), _LITERAL_SQL)} select key, s as span_start, e as span_end, category from m")
+def all_hits(spark, sf_dir):
+    found = all_spans(F.col("text"), ScanOptions(literals=LITERALS))
+    return listed(units(spark, sf_dir, MIXED), found).drop("span_text")
+
+
+@query("resolve_overlaps", f"{oracle.resolved(units_sql(MIXED), list(CATEGORIES), _LITERAL_SQL)} {LIST_SQL}")
+def resolve_overlaps(spark, sf_dir):
+    return listed(units(spark, sf_dir, MIXED), detect(F.col("text"), ScanOptions(literals=LITERALS)))
+
+
+_COVER_SQL = """,
+q as (select *, max(e) over (partition by key order by s, s - e, seq rows between unbounded preceding and 1 preceding) as before from m),
+i as (select *, sum(case when before is null or s >= before then 1 else 0 end) over (partition by key order by s, s - e, seq) as island from q),
+c as (select key, min(s) as s, max(e) as e from i group by key, island)"""
+
+
+@query("resolve_cover", f"{oracle.spans(units_sql(MIXED), list(CATEGORIES), _LITERAL_SQL)}{_COVER_SQL} select key, s as span_start, e as span_end from c")
+def resolve_cover(spark, sf_dir):
+    text = F.col("text")
+    found = resolve(all_spans(text, ScanOptions(literals=LITERALS)), "cover", text)
+    return listed(units(spark, sf_dir, MIXED), found).select("key", "span_start", "span_end")
+
+
+@query("interval_merge", f"""{oracle.spans(units_sql(MIXED), ['ssn', 'unique_ids', 'addresses', 'dates'])},
+q as (select *, max(e) over (partition by key order by s, e rows between unbounded preceding and 1 preceding) as before from m),
+i as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by key order by s, e) as island from q)
+select key, min(s) as span_start, max(e) as span_end from i group by key, island""")
+def interval_merge(spark, sf_dir):
+    found = listed(units(spark, sf_dir, MIXED), all_spans(F.col("text"), ScanOptions(["ssn", "unique_ids", "addresses", "dates"])))
+    spans = found.select("key", F.col("span_start").alias("start"), F.col("span_end").alias("end"))
+    return runs.merged(spans, "key").select("key", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+# ---- masking ------------------------------------------------------------------------------------
+
+
+@query("mask_documents", oracle.masked(oracle.resolved(units_sql(DOCS), list(CATEGORIES))))
+def mask_documents(spark, sf_dir):
+    return report.masked(report.spread(units(spark, sf_dir, DOCS))).select("key", "masked")
+
+
+@query("mask_mixed_cover", oracle.masked(f"{oracle.spans(units_sql(MIXED), list(CATEGORIES))}{_COVER_SQL}", "c"))
+def mask_mixed_cover(spark, sf_dir):
+    return report.masked(units(spark, sf_dir, MIXED), policy="cover").select("key", "masked")
+
+
+_SEARCHED = ["ssn", "emails"]
+_ESC = r"regexp_replace(x, '([^A-Za-z0-9_ ])', '\\\1', 'g')"
+
+
+@query("mask_cells_compat", f"""{oracle.resolved(units_sql(MIXED), _SEARCHED)},
+w as (select r.key, t.text, list(substring(t.text, s + 1, e - s) order by s) as xs from r join t on t.key = r.key group by r.key, t.text)
+select t.key, coalesce(regexp_replace(regexp_replace(t.text, '(?i)\\b' || {_ESC.replace('x,', 'xs[1],', 1)} || '\\b', '{TOKEN}', 'g'),
+       '(?i)\\b' || {_ESC.replace('x,', 'xs[2],', 1)} || '\\b', '{TOKEN}', 'g'), t.text) as masked
+from t left join w on w.key = t.key""")
+def mask_cells_compat(spark, sf_dir):
+    found = units(spark, sf_dir, MIXED).withColumn("s", detect(F.col("text"), ScanOptions(_SEARCHED)))
+    return found.select("key", mask_by_search(F.col("text"), F.col("s")).alias("masked"))
+
+
+@query("mask_needles", f"""{oracle.resolved(units_sql(MIXED), ['phones', 'ssn'])},
+x as (select distinct r.key, substring(t.text, s + 1, e - s) as x from r join t on t.key = r.key),
+w as (select key, list(x order by -length(x), x) as xs from x group by key)
+select t.key, coalesce(list_reduce(list_prepend(text, xs), lambda a, b: replace(a, b, '{TOKEN}')), text) as masked from t left join w on w.key = t.key""")
+def mask_needles_query(spark, sf_dir):
+    found = units(spark, sf_dir, MIXED).withColumn("s", detect(F.col("text"), ScanOptions(["phones", "ssn"])))
+    return found.select("key", mask_needles(F.col("text"), F.col("s")).alias("masked"))
+
+
+@query("needles_distinct", f"""{oracle.resolved(units_sql(DOCS), ['ips', 'phones', 'emails'])}
+select r.key, count(distinct substring(t.text, s + 1, e - s)) as n, count(*) as n_spans,
+       max(length(substring(t.text, s + 1, e - s))) as longest from r join t on t.key = r.key group by r.key""")
+def needles_distinct(spark, sf_dir):
+    found = units(spark, sf_dir, DOCS).withColumn("s", detect(F.col("text"), ScanOptions(["ips", "phones", "emails"])))
+    of = needles(F.col("s"))
+    return found.where(F.size("s") > 0).select(
+        "key", F.size(of).cast("long").alias("n"), F.size("s").cast("long").alias("n_spans"), F.length(F.get(of, F.lit(0))).cast("long").alias("longest")
+    )
+
+
+RUN = 10
+
+
+def _run_rows(spark, sf_dir):
+    """The mixed texts cut into runs of ten characters."""
+    parts = units(spark, sf_dir, MIXED)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / RUN).cast("int")), lambda i: F.substring(F.col("text"), i * RUN + 1, F.lit(RUN)))
+    return parts.withColumn("runs", cut)
+
+
+_RUN_SQL = f"""
+u as (select key, text, unnest(range(0, cast(ceil(length(text) / {RUN}.0) as int))) as run_ord from t),
+y as (select key, cast(run_ord as int) as run_ord, substring(text, run_ord * {RUN} + 1, {RUN}) as run, cast(run_ord * {RUN} as int) as a,
+      cast(least((run_ord + 1) * {RUN}, length(text)) as int) as z from u)"""
+
+
+@query("run_span_overlap_join", f"""{oracle.resolved(units_sql(MIXED), ['ssn', 'emails', 'phones'])},{_RUN_SQL}
+select y.key, run_ord, s as span_start, e as span_end, category from y join r on r.key = y.key and e > a and s < z""")
+def run_span_overlap_join(spark, sf_dir):
+    cut = _run_rows(spark, sf_dir)
+    rows = runs.run_positions(cut.select("key", F.posexplode("runs").alias("run_ord", "text")), "key")
+    spans = listed(cut, detect(F.col("text"), ScanOptions(["ssn", "emails", "phones"]))).select(
+        "key", F.col("span_start").alias("start"), F.col("span_end").alias("end"), "category"
+    )
+    return runs.overlaps(rows, spans, "key").select(
+        "key", "run_ord", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "category"
+    )
+
+
+@query("mask_runs", f"""{oracle.resolved(units_sql(MIXED), ['ssn', 'emails', 'phones'])},{_RUN_SQL},
+x as (select y.*, greatest(s, a) as ls, least(e, z) as le, case when s >= a then '{TOKEN}' else '' end as put
+      from y join r on r.key = y.key and e > a and s < z),
+b as (select *, coalesce(lag(le) over w, a) as before, row_number() over w as no from x window w as (partition by key, run_ord order by ls)),
+h as (select key, run_ord, string_agg(substring(run, before - a + 1, ls - before) || case when no > 1 and ls = before then '' else put end, '' order by ls)
+             || substring(any_value(run), max(le) - any_value(a) + 1) as masked from b group by key, run_ord)
+select y.key, string_agg(coalesce(h.masked, run), '|' order by y.run_ord) as masked from y left join h on h.key = y.key and h.run_ord = y.run_ord group by y.key""")
+def mask_runs_query(spark, sf_dir):
+    cut = _run_rows(spark, sf_dir).withColumn("s", detect(F.col("text"), ScanOptions(["ssn", "emails", "phones"])))
+    return cut.select("key", F.array_join(mask_runs(F.col("runs"), F.col("s")), "|").alias("masked"))
+
+
+# ---- sheets and tables --------------------------------------------------------------------------
+
+SHEETS = {"c_name": "Customer Name", "c_acctbal": "Empl ID", "c_mktsegment": "Remarks", "c_custkey": "Postal Code"}
+
+
+def _sheet(spark, sf_dir):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return tabular.to_cells(customer, "customer", "c_custkey", SHEETS)
+
+
+def _rule_sql(label: str) -> str:
+    whens = " ".join(f"when regexp_matches({label}, {oracle.quoted('(?i)' + rule)}) then {oracle.quoted(c)}" for rule, c in HEADER_RULES)
+    return f"case when length(trim({label})) between 1 and 60 then case {whens} end end"
+
+
+_LABELS = ", ".join(f"({oracle.quoted(x)})" for x in (
+    "First Name", "Name", "name of dog", "E-mail address", "className", "Cellar", "DOB", "Birth Date", "Street Address 2", "Zip Code", "Empl ID",
+    "Student", "id", "Start Date", "Emergency  Contact Name", "please email me", "MRN no.", "x" * 61 + "email",
+))
+
+
+@query("header_infer", f"select label, {_rule_sql('label')} as category from (values {_LABELS}) v(label)")
+def header_infer(spark, sf_dir):
+    labels = spark.createDataFrame([(x.strip("()").strip("'"),) for x in _LABELS.split(", ")], "label string")
+    return labels.select("label", tabular.header_category(F.col("label")).alias("category"))
+
+
+_CELLS_SQL = """
+rows as (select *, row_number() over (order by c_custkey) + 1 as row_no from customer),
+body as (
+  select row_no, 1 as col_no, 'string' as vtype, c_name as value from rows union all
+  select row_no, 2, 'number', cast(c_acctbal as varchar) from rows union all
+  select row_no, 3, 'string', c_mktsegment from rows union all
+  select row_no, 4, 'number', cast(c_custkey as varchar) from rows),
+cells as (
+  select * from body union all select 1, 1, 'string', 'Customer Name' union all select 1, 2, 'string', 'Empl ID'
+  union all select 1, 3, 'string', 'Remarks' union all select 1, 4, 'string', 'Postal Code')"""
+
+
+@query("header_columns", """
+select * from (values (2, 1, 'unique_ids'), (4, 1, 'addresses')) v(col_no, header_row, category)""")
+def header_columns(spark, sf_dir):
+    return tabular.header_columns(_sheet(spark, sf_dir)).select("col_no", "header_row", "category")
+
+
+@query("header_mask_long", f"""with {_CELLS_SQL}
+select row_no, col_no, case when row_no > 1 and col_no in (2, 4) then '{TOKEN}' else regexp_replace(value, '\\b\\d{{7,10}}\\b', '{TOKEN}', 'g') end as masked from cells
+where not (col_no = 2 and row_no = 0)""")
+def header_mask_long(spark, sf_dir):
+    return tabular.mask_cells(_sheet(spark, sf_dir), ScanOptions(["unique_ids", "addresses"])).select("row_no", "col_no", "masked")
+
+
+@query("sheet_counts", f"""with {_CELLS_SQL}
+select category, count(*) as n from (
+  select 'unique_ids' as category from cells where row_no > 1 and col_no = 2 union all
+  select 'addresses' from cells where row_no > 1 and col_no = 4 union all
+  select 'unique_ids' from cells where row_no > 1 and col_no = 1) group by category""")
+def sheet_counts(spark, sf_dir):
+    found = tabular.mask_cells(_sheet(spark, sf_dir))
+    return found.select(F.explode("hits").alias("category", "k")).groupBy("category").agg(F.sum("k").alias("n"))
+
+
+@query("header_mask_wide", f"""select s_suppkey, '{TOKEN}' as name, regexp_replace(s_name, '\\b\\d{{7,10}}\\b', '{TOKEN}', 'g') as note, s_nationkey from supplier""")
+def header_mask_wide(spark, sf_dir):
+    wide = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_name").alias("note"), "s_nationkey")
+    return tabular.mask_table(wide)
+
+
+# ---- reports, joins, sets -----------------------------------------------------------------------
+
+_TALK_SQL = "select conv_id as file_id, turn as unit_ord, text from conversations"
+_SCAN_CTE = oracle.resolved("select doc_id as key, text from documents", ["emails", "ips", "phones"])
+
+
+def _doc_counts(spark, sf_dir):
+    found = table_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return report.scan(found, ScanOptions(["emails", "ips", "phones"]))
+
+
+@query("scan_files", f"{_SCAN_CTE} select cast(key as varchar) as file_id, category, count(*) as n from r group by all")
+def scan_files(spark, sf_dir):
+    return _doc_counts(spark, sf_dir)
+
+
+@query("scan_rollup", f"{_SCAN_CTE} select cast(key as varchar) as file_id, category, count(*) as n from r group by rollup (1, 2)")
+def scan_rollup(spark, sf_dir):
+    return report.report(_doc_counts(spark, sf_dir))
+
+
+@query("category_label_join", f"""{_SCAN_CTE} select category, cast(count(*) as bigint) as n, case category when 'emails' then 'Email Addresses'
+    when 'ips' then 'IP Addresses' when 'phones' then 'Phone Numbers' end as label from r group by category
+    union all select 'custom', cast(1 as bigint), 'custom'""")
+def category_label_join(spark, sf_dir):
+    counts = _doc_counts(spark, sf_dir).groupBy("category").agg(F.sum("n").alias("n"))
+    return report.labelled(counts.unionByName(spark.range(1).select(F.lit("custom").alias("category"), F.lit(1).cast("long").alias("n"))))
+
+
+@query("file_results", f"""{_SCAN_CTE},
+c as (select key, count(*) as redaction_count, count(distinct category) as n_categories from r group by key)
+select cast(t.key as varchar) as file_id, coalesce(redaction_count, 0) as redaction_count, coalesce(n_categories, 0) as n_categories
+from t left join c on c.key = t.key""")
+def file_results(spark, sf_dir):
+    found = table_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    res = report.file_results(found, ScanOptions(["emails", "ips", "phones"]))
+    return res.select("file_id", "redaction_count", F.size("per_category").cast("long").alias("n_categories"))
+
+
+FORBIDDEN = ["EXAMPLE.com", "license", "the Of"]
+
+
+@query("leak_check_cross", f"""
+select cast(doc_id as varchar) as file_id, forbidden, substring(text, greatest(pos - 60, 1), cast(pos - greatest(pos - 60, 1) + length(forbidden) + 60 as bigint)) as context
+from (select doc_id, text, forbidden, instr(lower(text), lower(forbidden)) as pos from documents, (values {", ".join(f"({oracle.quoted(x)})" for x in FORBIDDEN)}) v(forbidden))
+where pos > 0""")
+def leak_check_cross(spark, sf_dir):
+    found = table_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return report.leaks(found, FORBIDDEN).select("file_id", "forbidden", "context")
+
+
+@query("masked_is_clean", f"{oracle.resolved(units_sql(DOCS), ['emails'])} select 0 as n_left, count(*) as n_masked from r")
+def masked_is_clean(spark, sf_dir):
+    opts = ScanOptions(["emails"])
+    once = report.masked(units(spark, sf_dir, DOCS), opts)
+    n = F.sum(F.size(detect(F.col("text"), opts)))
+    return once.agg(F.sum(F.size(detect(F.col("masked"), opts))).cast("int").alias("n_left"), n.alias("n_masked"))
+
+
+@query("names_minus_ambiguous", f"""select name from (values {", ".join(f"('{n}')" for n in DEFAULT_NAMES)}) v(name)
+except select name from (values {", ".join(f"('{n}')" for n in AMBIGUOUS)}) v(name)""")
+def names_minus_ambiguous(spark, sf_dir):
+    return names_frame(spark, DEFAULT_NAMES).join(F.broadcast(names_frame(spark, AMBIGUOUS)), "name", "left_anti")
+
+
+@query("categories_enabled", "select category from (values ('ssn'), ('emails')) v(category)")
+def categories_enabled(spark, sf_dir):
+    every = spark.createDataFrame([(k,) for k in CATEGORIES], "category string")
+    wanted = spark.createDataFrame([("emails",), ("ssn",), ("no such",)], "category string")
+    return every.join(F.broadcast(wanted), "category", "left_semi")
+
+
+@query("preset_override", f"""select * from (values ('FERPA Only', {len(FERPA)}), ('HIPAA Only', 1), ('Full (FERPA + HIPAA)', {len(CATEGORIES)}), ('Mine', 2)) v(name, n)""")
+def preset_override(spark, sf_dir):
+    own = spark.createDataFrame([("HIPAA Only", ["ssn"]), ("Mine", ["ssn", "emails"])], "name string, categories array<string>")
+    return presets.all_presets(presets.builtin_frame(spark), own).select("name", F.size("categories").alias("n"))
+
+
+@query("image_only_flag", r"""select cast(doc_id as varchar) as file_id, n_chars, n_chars < 20 as image_only from
+    (select doc_id, cast(length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) as bigint) as n_chars from documents)""")
+def image_only_flag(spark, sf_dir):
+    return report.image_only(table_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
+
+
+@query("extract_text_join", f"""select cast(file_id as varchar) as file_id, string_agg(text, chr(10) order by unit_ord) as text from ({_TALK_SQL})
+    where length(trim(text)) > 0 group by file_id""")
+def extract_text_join(spark, sf_dir):
+    return report.file_text(table_units(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "text", "turn"))
+
+
+_PATHS = "'/data/' || cast(s_nationkey as string) || '/' || s_name || case s_suppkey % 4 when 0 then '.docx' when 1 then '.XLSX' when 2 then '.v2.pdf' else '.txt' end"
+
+
+@query("output_manifest", f"""
+select path, '/out/' || regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') || '_REDACTED' || regexp_extract(path, '(\\.[^.]*)$', 1) as out,
+       case when path like '%.txt' then 'Unsupported file type: .txt' end as error
+from (select {_PATHS} as path from supplier)""")
+def output_manifest(spark, sf_dir):
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(f"{_PATHS} as path")
+    return man.manifest(files, "/out")
+
+
+@query("supported_files", f"select distinct path from (select {_PATHS} as path from supplier) where path not like '%.txt'")
+def supported_files(spark, sf_dir):
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(f"{_PATHS} as path")
+    return man.supported(files.unionByName(files))
+
+
+@query("image_names", "select '/out/a.v2_images/a.v2_p' || lpad(cast(i as varchar), 3, '0') || '.png' as path from range(1, 13) t(i)")
+def image_names(spark, sf_dir):
+    return spark.range(1, 13).select(man.image_path(F.lit("/out/a.v2.pdf"), F.col("id")).alias("path"))
+
+
+@query("ok_failed", "select count(*) filter (o_orderkey % 7 <> 0) as n_ok, count(*) filter (o_orderkey % 7 = 0) as n_failed from orders")
+def ok_failed(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.when(F.col("o_orderkey") % 7 == 0, F.lit("bad file")).alias("error"))
+    return report.tallies(rows)
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+_EVENT_TEXT = "event_type || ' of 55512' || lpad(cast(user_id % 100 as string), 2, '0') || ' ' || props"
+
+
+@query("stream_counts", rf"""
+select window_start, 'unique_ids' as category, cast(sum(n) as bigint) as n from (
+  select time_bucket(interval '1 hour', ts) as window_start, len(regexp_extract_all({_EVENT_TEXT}, '\b\d{{7,10}}\b')) as n from events)
+group by window_start having sum(n) > 0""")
+def stream_counts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("ts", f"{_EVENT_TEXT} as text")
+    return live.counts_over_time(rows, "ts", "text", "1 hour", "1 hour", ScanOptions(["unique_ids"]))
+
+
+@query("stream_mask", rf"""select event_id, regexp_replace({_EVENT_TEXT}, '\b\d{{7,10}}\b', '{TOKEN}', 'g') as text from events""")
+def stream_mask(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{_EVENT_TEXT} as text")
+    return live.masked_stream(rows, "text", ScanOptions(["unique_ids"]))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def queries() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["flagship", "mask", "oracle_sql", "queries"]
