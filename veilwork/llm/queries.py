@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, quality, secrets, simhash, substring_dedup, token_store, toxicity
+from . import byte_bpe, line_dedup, media, mixing, quality, secrets, simhash, substring_dedup, token_store, toxicity
 from .common import documents
 from .oracles import ORACLES
 
@@ -55,6 +55,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir), with_pixels=False).select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
@@ -75,10 +88,11 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_secrets": op2_secrets,
-        "op6_quality": op6_quality,
         "op3_simhash": op3_simhash,
         "op4_token_store": op4_token_store,
         "op5_mixing": op5_mixing,
+        "op6_quality": op6_quality,
+        "op7_media": op7_media,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_line_dedup": op10_line_dedup,
