@@ -130,19 +130,19 @@ def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
     Columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     gone = dropped_lines(docs.select("doc_id", "text"), **limits).select(
-        F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row"), F.col("dropped").alias("_dropped")
+        F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("dropped").alias("__dropped")
     )
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n", -1)
-    wide = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_row"]), "left")
+    wide = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__row"]), "left")
     return (
         wide.withColumn("n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
         .withColumn(
             "text",
-            F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(
-                F.array_join(kept_lines(lines, F.col("_dropped")), "\n")
+            F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(
+                F.array_join(kept_lines(lines, F.col("__dropped")), "\n")
             ),
         )
-        .drop("_id", "_row", "_dropped")
+        .drop("__id", "__row", "__dropped")
     )

@@ -143,9 +143,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     m = (
         mix(docs, **how)
         .groupBy("doc_id", "size")
-        .agg(F.round(F.avg(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("_times"))
-        .withColumnRenamed("doc_id", "_id")
-        .withColumnRenamed("size", "_size")
+        .agg(F.round(F.avg(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
+        .withColumnRenamed("doc_id", "__id")
+        .withColumnRenamed("size", "__size")
     )
-    wide = docs.join(m, docs["doc_id"].eqNullSafe(m["_id"]) & (word_count(docs["text"]) == m["_size"]))
-    return wide.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_k")).drop("_k")
+    wide = docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]) & (word_count(docs["text"]) == m["__size"]))
+    return wide.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__k")).drop("__k")

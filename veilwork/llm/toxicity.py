@@ -39,6 +39,8 @@ GRADES = 4
 MIN_Z = 3.0
 MIN_DOCS = 4
 CACHE_WORDS = 400_000
+#: Probability of a grade above 0 from which a document counts as toxic.
+TOXIC_FROM = 0.5
 EDGES = ".,;:!?\"'()[]{}<>*_-…«»“”„’"
 
 
@@ -197,15 +199,26 @@ def severity(text: Column, weights: np.ndarray, theta: np.ndarray) -> Column:
     return score(F.coalesce(text, F.lit("")))
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with ``severity``, ``p_toxic`` and ``toxic``; columns of these names are replaced."""
+def graded(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` with ``__grade``: a struct of ``severity`` and ``p_toxic``."""
     weights, theta = fit(docs, labels, sample_rows)
-    scored = docs.withColumn("_s", severity(F.col("text"), weights, theta))
     blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
-    zero = lambda c: F.when(blank, F.lit(0.0)).otherwise(c)
+    none = F.struct(F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"))
+    scored = docs.withColumn("__grade", severity(F.col("text"), weights, theta))
+    return scored.withColumn("__grade", F.when(blank, none).otherwise(F.col("__grade")))
+
+
+def grade_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` with ``severity``, ``p_toxic`` and ``toxic``; columns of these names are replaced."""
     return (
-        scored.withColumn("severity", zero(F.col("_s.severity")))
-        .withColumn("p_toxic", zero(F.col("_s.p_toxic")))
-        .withColumn("toxic", F.col("p_toxic") >= 0.5)
-        .drop("_s")
+        graded(docs, labels, sample_rows)
+        .withColumn("severity", F.col("__grade.severity"))
+        .withColumn("p_toxic", F.col("__grade.p_toxic"))
+        .withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
+        .drop("__grade")
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that aren't toxic, their columns as they were."""
+    return graded(docs, labels, sample_rows).where(F.col("__grade.p_toxic") < TOXIC_FROM).drop("__grade")
