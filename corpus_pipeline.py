@@ -19,15 +19,15 @@ from veilwork.llm.queries import tokenizer_file
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model finds toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.grade_documents(docs, labels).where(~F.col("toxic")).select(*docs.columns)
+    return toxicity.without_toxic(docs, labels)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more share stay in the last of them only; no document goes."""
-    kept = line_dedup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    own = {"text": F.col("text"), "n_chars": size}
+    return kept.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
