@@ -164,3 +164,36 @@ def test_stream(spark, tmp_path):
     q.stop()
     batch = live.counts_over_time(spark.read.parquet(str(tmp_path / "in")), "ts", "text", "1 hour", "1 hour", opts)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_extracted_text(spark, folder):
+    got = {r.file_id.rsplit("/", 1)[1]: r for r in redact.extract_text(spark, str(folder)).collect()}
+    assert got["a.docx"].text.startswith("Mary Stone called.\nnothing here") and got["bad.docx"].text is None and got["bad.docx"].error
+    assert got["b.XLSX"].text.split("\n") == ["Name", "Mary Stone", "Email", "a@b.co", "SSN", "123-45-6789", "42", "1", "see 123 Main St.", "plain"]
+
+
+def test_pdf_pages_need_a_library(spark, folder):
+    if files.parser_available(".pdf"):
+        pytest.skip("a library is installed")
+    masked = redact.masked_files(spark, str(folder))
+    assert redact.page_images(masked).count() == 0
+    (row,) = [r for r in masked.collect() if r.file_id.endswith(".pdf")]
+    assert "PdfUnavailable" in row.error and row.content is None
+
+
+def test_command_line(spark, folder, capsys):
+    from veilwork.__main__ import main
+
+    assert main(["selftest", str(folder / "result")]) == 0 and (folder / "result").read_text() == "PASS"
+    assert main(["scan", str(folder / "a.docx"), "--category", "ssn", "--literal", "nothing"]) == 0
+    out = capsys.readouterr().out
+    assert "a.docx: 2" in out and "Social Security Numbers: 1" in out and "custom: 1" in out and "total: 2 in 1 files, 0 failed" in out
+    assert main(["mask", str(folder / "bad.docx"), "--json"]) == 1
+
+
+def test_texts(spark):
+    from veilwork import api
+
+    assert api.summarise_texts(spark, ["80202 a@b.co", None]) == [{"addresses": 1, "emails": 1}, {}]
+    (found, none) = api.detect_texts(spark, ["x 80202", ""])
+    assert found == [{"start": 2, "end": 7, "text": "80202", "category": "addresses"}] and none == []

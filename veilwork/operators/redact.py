@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwork.functions.detect import ScanOptions, detect, mask_runs, summary
+from veilwork.functions.detect import ScanOptions, detect, mask_runs, needles, summary
 from veilwork.sources import files as source
-from veilwork.sources import ooxml
+from veilwork.sources import ooxml, pdf
 
-from .manifest import SUFFIX, manifest
+from .manifest import SUFFIX, image_path, manifest
+from .report import file_text
 from .tabular import mask_cells
 
 RESULT = "file_id string, out string, redaction_count long, per_category map<string,bigint>, error string"
@@ -41,7 +42,7 @@ def edits(found: DataFrame, opts: ScanOptions) -> DataFrame:
     spans = units.withColumn("s", detect(F.col("text"), opts))
     by_unit = spans.groupBy(F.col("file_id").alias("path")).agg(
         F.collect_list(
-            F.when(F.size("s") > 0, F.struct("unit_ord", mask_runs(F.col("runs"), F.col("s"), opts.replacement).alias("runs")))
+            F.when(F.size("s") > 0, F.struct("unit_ord", mask_runs(F.col("runs"), F.col("s"), opts.replacement).alias("runs"), needles(F.col("s")).alias("needles")))
         ).alias("units"),
         _sum_maps(F.collect_list(summary(F.col("s")))).alias("per_category"),
         F.max("error").alias("error"),
@@ -78,7 +79,7 @@ def masked_files(spark: SparkSession, path: str, opts: ScanOptions | None = None
             return ooxml.docx_masked(raw, {u["unit_ord"]: list(u["runs"]) for u in units if u is not None})
         if path.lower().endswith(".xlsx"):
             return ooxml.xlsx_masked(raw, {(c["sheet"], c["row_no"], c["col_no"]): c["masked"] for c in cells if c is not None})
-        return pdf_masked(raw, opts)
+        return pdf.masked(raw, {u["unit_ord"]: list(u["needles"]) for u in units if u is not None})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -97,11 +98,6 @@ def masked_files(spark: SparkSession, path: str, opts: ScanOptions | None = None
     return wide.mapInPandas(each, MASKED)
 
 
-def pdf_masked(raw: bytes, opts: ScanOptions) -> bytes:
-    """PDF pages need a library that removes text; without one the file's result is an error, never an unmasked copy."""
-    raise RuntimeError("writing masked .pdf files needs PyMuPDF, which isn't installed")
-
-
 def write_files(masked: DataFrame) -> DataFrame:
     """Write each masked copy to its ``out`` path, in whatever file system that is; the result rows without contents."""
 
@@ -127,6 +123,35 @@ def write_files(masked: DataFrame) -> DataFrame:
     return masked.mapInPandas(each, RESULT)
 
 
+def page_images(masked: DataFrame, fmt: str = "PNG") -> DataFrame:
+    """``(file_id, out, error, content)``: the pages of masked PDF files as images, named after the masked file."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, out, raw in zip(b["file_id"], b["out"], b["content"]):
+                try:
+                    rows += [(path, out, n, None, shot) for n, shot in enumerate(pdf.rendered(raw, fmt), 1)]
+                except Exception as e:  # the masked file is there all the same
+                    rows.append((path, out, 0, f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(rows, columns=["file_id", "out", "page", "error", "content"])
+
+    pages = masked.where(F.lower("out").endswith(".pdf") & F.col("content").isNotNull())
+    shots = pages.select("file_id", "out", "content").mapInPandas(each, "file_id string, out string, page int, error string, content binary")
+    return shots.select("file_id", image_path(F.col("out"), F.col("page"), fmt).alias("out"), "error", "content")
+
+
+def extract_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_id, text, error)``: what the files below ``path`` say, blank units left out; of sheets all cells of any type."""
+    found = source.binary_files(spark, path)
+    units = source.read_units(found.where(~F.lower("path").endswith(".xlsx"))).select("file_id", "unit_ord", "text", "error")
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.monotonically_increasing_id()))
+    cells = source.read_cells(found, formulas=False).select("file_id", place.cast("int").alias("unit_ord"), F.col("value").alias("text"), "error")
+    every = units.unionByName(cells)
+    errors = every.groupBy("file_id").agg(F.max("error").alias("error"))
+    return errors.join(file_text(every), "file_id", "left").select("file_id", F.coalesce("text", F.when(F.col("error").isNull(), F.lit(""))).alias("text"), "error")
+
+
 def redact_files(spark: SparkSession, path: str, opts: ScanOptions | None = None, out_dir: str | None = None, suffix: str = SUFFIX) -> list:
     """Mask the files below ``path`` and write the copies; a result row per file."""
     return write_files(masked_files(spark, path, opts, out_dir, suffix)).collect()

@@ -101,3 +101,19 @@ def image_only(units: DataFrame, least: int = BLANK_CHARS) -> DataFrame:
 def tallies(results: DataFrame) -> DataFrame:
     """``(n_ok, n_failed)`` over result rows with an ``error`` column."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("n_ok"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))
+
+
+def lines(results: list) -> list[str]:
+    """Result rows (``file_id, per_category, error``) of one batch as text: per file, per category, in total."""
+    out, total, failed = [], 0, 0
+    for r in results:
+        name = (r["file_id"] if "file_id" in r else r["path"]).rsplit("/", 1)[-1]
+        if r["error"]:
+            failed += 1
+            out.append(f"{name}: failed ({r['error']})")
+            continue
+        counts = dict(sorted((r["per_category"] or {}).items()))
+        total += sum(counts.values())
+        out.append(f"{name}: {sum(counts.values())}")
+        out += [f"  {CATEGORIES[k].label if k in CATEGORIES else k}: {n}" for k, n in counts.items()]
+    return [*out, f"total: {total} in {len(results) - failed} files, {failed} failed"]

@@ -6,44 +6,24 @@ one row with an ``error`` and no text, so it doesn't stop the others.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ooxml
+from . import ooxml, pdf
 
 UNITS = "file_id string, unit_ord int, unit_kind string, runs array<string>, text string, error string"
 CELLS = "file_id string, sheet string, row_no int, col_no int, vtype string, value string, error string"
 
 
-def pdf_reader():
-    """A function from bytes to the pages' texts, by whichever parser is installed."""
-    try:
-        import fitz
-    except ImportError:
-        fitz = None
-    if fitz is not None:
-        return lambda raw: [page.get_text() for page in fitz.open(stream=raw, filetype="pdf")]
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        raise RuntimeError("no parser for .pdf files is installed (PyMuPDF or pypdf)") from None
-    import io
-
-    return lambda raw: [page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages]
-
-
 def parser_available(extension: str) -> bool:
     """Whether files of this kind can be read here."""
     if extension != ".pdf":
         return extension in (".docx", ".xlsx")
-    try:
-        pdf_reader()
-    except RuntimeError:
-        return False
-    return True
+    return any(importlib.util.find_spec(m) is not None for m in ("fitz", "pypdf"))
 
 
 def units_of(path: str, raw: bytes) -> list[tuple[str, list[str] | None, str]]:
@@ -55,7 +35,7 @@ def units_of(path: str, raw: bytes) -> list[tuple[str, list[str] | None, str]]:
         cells = ooxml.xlsx_cells(raw, formulas=False)
         return [("cell", None, value) for _, _, _, kind, value in cells if kind == "string" and value.strip()]
     if ext == ".pdf":
-        return [("page", None, text) for text in pdf_reader()(raw)]
+        return [("page", None, text) for text in pdf.page_texts(raw)]
     raise ValueError(f"Unsupported file type: {ext}")
 
 
