@@ -16,11 +16,13 @@ def key(line):
 
 
 def brute(rows, max_docs=ql.MAX_DOCS):
-    holders = defaultdict(set)
+    holders, hosts = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
+        hosts[s].add(t or "")
         for line in (t or "").split("\n"):
             if WORD.search(line):
                 holders[s, key(line)].add(t)
+    above = {k for k, texts in holders.items() if len(texts) > max_docs and len(texts) > ql.MAX_SHARE * len(hosts[k[0]])}
     out = []
     for i, t, s in rows:
         t = t or ""
@@ -28,7 +30,7 @@ def brute(rows, max_docs=ql.MAX_DOCS):
         grams = Counter(zip(w, w[1:], w[2:]))
         repeated = {p + k for p, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for k in range(3)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        gone = sum(len(WORD.findall(x)) for x in lines if len(holders[s, key(x)]) > max_docs)
+        gone = sum(len(WORD.findall(x)) for x in lines if (s, key(x)) in above)
         failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
         out.append(
             (i, len(w), sum(map(len, w)), len(re.findall(ql.SYMBOLS, t)), len(lines) - len(set(lines)), len(repeated), failed, not failed and len(w) - gone >= 0.5 * len(w), gone)
@@ -63,3 +65,10 @@ def test_copies_do_not_condemn_a_document(spark):
     text = " ".join(f"w{k}" for k in range(80))
     got = ql.rate(spark.createDataFrame([(i, text, "a") for i in range(50)], "doc_id long, text string, source string"))
     assert got.where("kept").count() == 50
+
+
+def test_limits_follow_the_host(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + ("\nshared by some" if i % 50 == 0 else "") + ("\nshared by a few" if i % 200 == 0 else ""), "a") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = ql.rate(docs, max_docs=2).where("n_line_words_removed > 0").select("n_line_words_removed").collect()
+    assert sorted(r[0] for r in gone) == [3] * 20  # 20 of 1,000 hold the first line, 5 the second

@@ -92,7 +92,10 @@ k as (
                                      '[\\x20\\x09-\\x0D]+', ' ', 'g'),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
   from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-f as (select source, key from k group by source, key having count(distinct text) > 20),
+u as (select source, count(distinct text) as n_host from d group by source),
+f as (
+  select source, key from (select source, key, count(distinct text) as n from k group by source, key) z
+  where n > 20 and n > 0.01 * (select n_host from u where u.source is not distinct from z.source)),
 x as (
   select k.r, count(*) - count(distinct line) as n_dup_lines,
          coalesce(sum(len(string_split(k.key, ' '))) filter (f.key is not null), 0) as gone
