@@ -74,6 +74,19 @@ def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def first_by_hash(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
+    """About the ``n`` rows with the smallest hash of ``key``, at most ``n``, of a table with ``rows`` rows.
+
+    A threshold on the hash leaves some ``4 * n`` rows before any are compared, so that
+    what meets in one task doesn't grow with the table.
+    """
+    h = F.xxhash64(key)
+    share = min(1.0, 4 * n / max(1, rows))
+    if share < 1:
+        df = df.where(h < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return df.orderBy(h, key).limit(n)
+
+
 def blocks(texts: list, limit: int = 1_000_000):
     """Slices of ``texts`` with about ``limit`` characters each (a longer text makes one of its own): bounds a worker's memory."""
     start, room = 0, 0

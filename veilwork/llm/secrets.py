@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.arrays import let
 from veilwork.functions.spans import match_spans
 
+from .common import first_by_hash
 from .quality import words
 
 KINDS = ("assign", "access", "hex", "random")
@@ -69,7 +70,7 @@ def random_samples(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def identifier_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
-    chosen = docs.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(n)
+    chosen = first_by_hash(docs.select("doc_id", "text"), "doc_id", n, docs.count())
     bare = F.filter(
         F.transform(words(F.col("text")), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")),
         lambda w: w.rlike(r"^[A-Za-z]{2,}$"),
