@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -143,6 +144,19 @@ class Shard:
 # ---- encoding -----------------------------------------------------------------------------------
 
 
+class Numbers(dict):
+    """Piece -> number; a piece that is new gets the next one and waits in ``fresh`` for its ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, piece) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level ``tokenizers`` file, each distinct piece once.
 
@@ -170,27 +184,42 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.inner: dict[str, int] = {}  # pieces that a space comes before; keys are without it
-        self.whole: dict[str, int] = {}
+        self.numbers = Numbers()
         self.store = PieceStore()
-
-    def _store(self, table: dict[str, int], pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        table.update(zip(pieces, self.store.add(ids, sizes)))
-
-    def _learn_inner(self, pieces: list[str]) -> None:
-        """A word and the full stop or comma after it are pre-tokens of their own, so the word is encoded once for all."""
-        tailed = [p for p in pieces if p[-1:] in self.tails and p[-2:-1].isalpha() and p[-2] < "\u0250"]
-        bare = set(pieces).difference(tailed).union(p[:-1] for p in tailed)
-        self._encode_inner([p for p in bare if p not in self.inner])
-        base = np.array([self.inner[p[:-1]] for p in tailed], dtype=np.int64)
-        known, n = self.store.gather(base)
+        self.slot = np.zeros(1 << 14, dtype=np.int64)  # a piece's place in the store, by its number
+
+    def _put(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.slot[self._numbers(pieces)] = self.store.add(ids, sizes)
+
+    def _numbers(self, pieces: list) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+
+    def _learn(self) -> None:
+        """Encode the pieces that are new. A word and the full stop or comma after it are pre-tokens of their
+        own, so the word is encoded once for all."""
+        whole = [p for p in self.numbers.fresh if type(p) is bytes]
+        inner = [p for p in self.numbers.fresh if type(p) is str]
+        self.numbers.fresh = []
+        tailed = [p for p in inner if p[-1:] in self.tails and p[-2:-1].isalpha() and p[-2] < "\u0250"]
+        base = self._numbers([p[:-1] for p in tailed])
+        bare = [*set(inner).difference(tailed), *self.numbers.fresh]
+        self.numbers.fresh = []
+        if len(self.slot) < len(self.numbers):
+            self.slot = np.concatenate([self.slot, np.zeros(len(self.numbers), dtype=np.int64)])
+        if whole:
+            got = self._encode([p.decode() for p in whole])
+            self._put(whole, np.array([i for g in got for i in g], dtype=np.uint32), np.array([len(g) for g in got], dtype=np.int64))
+        self._encode_inner(bare)
+        if not tailed:
+            return
+        known, n = self.store.gather(self.slot[base])
         sizes = n + 1
         keep = np.ones(int(sizes.sum()), dtype=bool)
         keep[np.cumsum(sizes) - 1] = False
         ids = np.empty(len(keep), dtype=np.uint32)
         ids[keep] = known
         ids[~keep] = [self.tails[p[-1]] for p in tailed]
-        self._store(self.inner, tailed, ids, sizes)
+        self._put(tailed, ids, sizes)
 
     def _encode_inner(self, pieces: list[str]) -> None:
         """Pieces are encoded many at once; the bytes of the ids tell where each one's ids end."""
@@ -199,39 +228,30 @@ class PieceEncoder:
             ends = np.cumsum([len(p.encode()) + 1 for p in g])
             ids = np.array(e, dtype=np.uint32)
             cut = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            self._store(self.inner, g, ids, np.diff(cut, prepend=0))
+            self._put(g, ids, np.diff(cut, prepend=0))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list:
+        """Pieces of a text: bytes as they stand, str without the space before them."""
+        if self.odd.search(text) or text.startswith(" "):
+            return [p.encode() for p in self.cut.split(text)]
+        out: list = text.split(" ")
+        out[0] = out[0].encode()
+        return out
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if self.store.count > CACHE_PIECES:
             self.clear()
-        odd = self.odd.search
-        split = [None if odd(t) or t.startswith(" ") else t.split(" ") for t in texts]
-        rest = [self.cut.split(t) if s is None else s[:1] for t, s in zip(texts, split)]
-        fresh = list(set().union(*(s for s in split if s is not None)).difference(self.inner)) if split else []
-        if fresh:
-            self._learn_inner(fresh)
-        fresh = list(set().union(*rest).difference(self.whole)) if rest else []
-        if fresh:
-            got = self._encode(fresh)
-            sizes = np.array([len(g) for g in got], dtype=np.int64)
-            self._store(self.whole, fresh, np.array([i for g in got for i in g], dtype=np.uint32), sizes)
-        keys: list[int] = []
-        n_keys = np.zeros(len(texts), dtype=np.int64)
-        inner, whole = self.inner.__getitem__, self.whole.__getitem__
-        for k, (s, r) in enumerate(zip(split, rest)):
-            before = len(keys)
-            keys.extend(map(whole, r))
-            if s is not None:
-                it = iter(s)
-                next(it)
-                keys.extend(map(inner, it))
-            n_keys[k] = len(keys) - before
-        ids, sizes = self.store.gather(np.array(keys, dtype=np.int64))
-        return ids, per_text(sizes, n_keys)
+        pieces = list(map(self._pieces, texts))
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(n.sum()))
+        if self.numbers.fresh:
+            self._learn()
+        ids, sizes = self.store.gather(self.slot[numbers])
+        return ids, per_text(sizes, n)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
