@@ -18,6 +18,7 @@ def local_session(cpus: int | None = None, **extra: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("VEILWORK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites cost more than the expressions
         .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in extra.items():
