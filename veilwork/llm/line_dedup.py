@@ -120,7 +120,9 @@ def dropped_lines(
     store = LineRuns(fanout)
     for b in reversed(range(batches)):
         store.add(hashes.where(F.col("batch") == b))
-    hits = hashes.join(store.frequent(min_docs), ["h1", "h2"]).where(F.col("doc_id") != F.col("max_doc"))
+    # a table of its own: both sides of the join are then plain exchanges, so a hot line's rows can be split
+    frequent = stash(store.frequent(min_docs).select("h1", "h2", "max_doc"), "frequent-lines")
+    hits = hashes.join(frequent, ["h1", "h2"]).where(F.col("doc_id") != F.col("max_doc"))
     return hits.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
