@@ -65,3 +65,9 @@ def test_new_runs_hold_no_owner_of_known_keys(spark):
     newer = {r.h1: r.max_doc for r in store.runs()[1].collect()}
     assert newer == {1: None, 3: 2}
     assert {(r.h1, r.n_docs, r.max_doc) for r in store.frequent(2).collect()} == {(1, 2, 9)}
+
+
+def test_ids_at_the_ends_of_longs(spark):
+    line = "a line that is long enough to count"
+    rows = [(-(1 << 63), line), (0, line), ((1 << 63) - 1, line), ((1 << 63) - 2, line)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

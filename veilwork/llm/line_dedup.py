@@ -112,7 +112,12 @@ def dropped_lines(
     width = max(1, -(-(hi - lo + 1) // batches))
     hashes = stash(
         line_hashes(docs, min_key_chars).withColumn(
-            "batch", F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("int")
+            # in doubles: ids may be as far apart as longs can be
+            "batch",
+            F.least(
+                F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(width))).cast("int"),
+                F.lit(batches - 1),
+            ),
         ),
         "line-hashes",
         ["batch"],
