@@ -369,7 +369,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     span = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     gone = settled.where(F.col("kind") == GONE).select("k1", "k2", span.alias("span"))
     asked = settled.where(F.col("kind") == OPEN)
-    hot = asked.groupBy("m").count().where(F.col("count") > GROUP_ROWS).select("m", F.lit(True).alias("deep"))
+    # a table of its own: both sides of the join are then plain exchanges, so a hot anchor's rows can be split
+    hot = stash(asked.groupBy("m").count().where(F.col("count") > GROUP_ROWS).select("m", F.lit(True).alias("deep")), "hot-anchors")
     asked = (
         asked.join(hot, "m", "left")
         .groupBy("k1", "k2")
