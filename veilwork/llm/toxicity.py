@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
+
 SAMPLE_ROWS = 6000
 DIM = 1 << 18
 SMOOTH = 50
@@ -142,13 +144,9 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Fit on a bounded sample of the labelled documents; the model (``DIM`` numbers) comes to the driver."""
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
-    )
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    each = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = first_by_hash(each, "doc_id", sample_rows, usable.count())
     # sample_rows bounds what is broadcast
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
 
