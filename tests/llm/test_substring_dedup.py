@@ -51,6 +51,17 @@ def test_hot_anchors_are_split_by_whole_windows(spark, monkeypatch):
     assert sorted_rows(got) == brute(rows)
 
 
+def test_small_batches_and_trees(spark, monkeypatch):
+    monkeypatch.setattr(sd, "GROUP_ROWS", 1)
+    rows = random_rows(6, 80, 12, 150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted_rows(sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
+
+
 def test_odd_rows(odd, clashing, empty):
     expected = brute([(r[0], r[1]) for r in ROWS])
     assert sorted_rows(sd.remove_repeats(odd)) == expected
