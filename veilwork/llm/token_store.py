@@ -22,7 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import remove, shared_path
@@ -309,37 +309,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ).parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """``(shard, n_ids, first, data)``. ``first`` comes from the shards' sizes: one small row for each file."""
-    from pyspark.sql import Window
-
-    files = spark.read.parquet(path)
+def firsts(files: DataFrame) -> DataFrame:
+    """``(shard, first)``: the number of ids before each shard, from the shards' sizes, one small row for each file."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.select("shard", "n_ids").withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return files.join(sizes.select("shard", "first"), "shard")
+    return files.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` for each stored document, from the files."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` for each stored document, from the files.
+
+    Shards are decoded where they are read; only a small row for each document meets the shards' firsts.
+    """
+    files = spark.read.parquet(path)
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for first, raw in zip(b["first"], b["data"]):
+            for no, raw in zip(b["shard"], b["data"]):
                 s = Shard(raw)
                 bounds = s.bounds.values()
                 words, cuts = s.ids.astype("<u4").data.cast("B"), (4 * bounds).tolist()
                 yield pd.DataFrame(
                     {
+                        "shard": no,
                         "doc_id": pd.array(s.doc_ids, dtype="Int64").copy(),
-                        "start": first + bounds[:-1],
+                        "start": bounds[:-1],
                         "n_tokens": np.diff(bounds),
                         "ids_crc32": [zlib.crc32(words[a:z]) for a, z in zip(cuts, cuts[1:])],
                         "gone": s.null_ids.astype(bool),
                     }
                 ).assign(doc_id=lambda d: d["doc_id"].mask(d.pop("gone")))
 
-    return read_shards(spark, path).select("first", "data").mapInPandas(
-        each, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    rows = files.select("shard", "data").mapInPandas(
+        each, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
+    )
+    return rows.join(firsts(files), "shard").select(
+        "doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
