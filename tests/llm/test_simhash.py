@@ -76,3 +76,10 @@ def test_odd_rows(odd, clashing, empty):
     assert sh.near_duplicates(empty).collect() == []
     kept = sh.keep_one(clashing)
     assert kept.columns == clashing.columns and kept.count() < clashing.count()
+
+
+def test_one_document_of_each_group_stays(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "red green blue grey black white pink brown")
+    rows = [(5, a), (3, a), (3, b), (3, b), (None, b), (None, c), (None, c), (7, None), (2, ""), (None, " ")]
+    got = sorted_rows(sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == sorted([(3, a), (3, b), (3, b), (None, c), (None, c), (2, "")], key=repr)

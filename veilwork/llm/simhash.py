@@ -18,7 +18,9 @@ driver.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any
 other; equal rows share a component; a null doc_id is nobody's smallest (a component of
-such documents only has none). Extra columns are ignored.
+such documents only has none). ``keep_one`` keeps the document with the smallest doc_id,
+of several texts with that id the one with the smallest hash, and a document without an
+id only if no other has one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,23 +155,43 @@ def links(prints: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS)
     return pairs.unionByName(walked)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for each row of ``docs``."""
-    marked = stash(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "prints")
-    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, text_hash, fp, head)`` for each row of ``docs``; ``head``: what names the first document of its
+    component, a struct of ``no_id``, ``doc_id`` and ``text_hash`` (smallest id, then smallest hash; no id comes last)."""
+    marked = stash(
+        docs.select(
+            "doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column(F.col("text"), shingle).alias("fp")
+        ),
+        "prints",
+    )
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    prints = marked.groupBy("fp").agg(F.min(name).alias("first"))
     roots = components(links(prints.select("fp"), radius))
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = stash(placed.join(smallest, "root").select("fp", "component_id"), "print-components")
-    return marked.join(of_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    smallest = placed.groupBy("root").agg(F.min("first").alias("head"))
+    of_print = stash(placed.join(smallest, "root").select("fp", "head"), "print-components")
+    return marked.join(of_print, "fp").select("doc_id", "text_hash", "fp", "head")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` for each row of ``docs``."""
+    return grouped(docs, radius, shingle).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("head.doc_id").alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the documents that have a smaller doc_id in their component."""
-    found = near_duplicates(docs, radius, shingle)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each component. A document is told apart by its id and its text: equal rows are one."""
+    same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    gone = (
+        grouped(docs, radius, shingle)
+        .where(~same)
+        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+        .distinct()
+    )
+    on = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"])
+    return docs.join(gone, on, "left_anti").select(*docs.columns)
