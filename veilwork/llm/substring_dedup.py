@@ -16,8 +16,9 @@ starts earlier (in a smaller document, or earlier in the same one).
    its nodes at that depth with two leaves or more are the repeats, and every leaf but
    the first is marked.
 
-Blocks of documents settle their own equal segments before the shuffle, so a passage in
-many documents costs a row per block. Words stand for themselves by 64-bit hashes.
+Blocks of documents settle their own equal segments, and batches their equal windows,
+before the shuffles, so a passage in many documents costs a row per block; and a window's
+copies are settled as they stream by, however many there are. Words stand for themselves by 64-bit hashes.
 
 Defined cases: a null text has no words; a document is told apart by its id and its
 text, so equal rows are one document and don't repeat each other; a null doc_id counts
@@ -40,7 +41,7 @@ ANCHOR = 5
 #: Starts in one segment at most.
 SEGMENT = 64
 #: Segments of one anchor that one subtree takes; beyond, its windows are split by their whole word sequence.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 5_000
 #: Words whose subtrees are built at a time, about.
 TREE_WORDS = 2_000_000
 CACHE_WORDS = 1_000_000
@@ -301,8 +302,28 @@ def marked_leaves(words: list[bytes], k1: np.ndarray, k2: np.ndarray, lo: np.nda
     return pd.DataFrame({k: v[later] for k, v in leaf.items()})
 
 
+def lone_windows(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of content rows sorted by (key, k1, k2, lo): rows of one window that only repeat their key's first row, and
+    those of them that stand in another place. They need no tree, however many there are."""
+    key = b["key"].to_numpy(np.int64)
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    words = b["words"].to_numpy(dtype=object)
+    again = np.fromiter((len(w) == 8 * WINDOW for w in words), bool, len(words)) & ~first & (words == words[head])
+    moved = np.zeros(len(key), dtype=bool)
+    for k in ("k1", "k2", "lo"):
+        v = b[k].to_numpy(np.int64)
+        moved |= v != v[head]
+    return again, again & moved
+
+
 def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From content rows sorted by key: ``(k1, k2, span)`` of the words to remove."""
+    """From content rows sorted by (key, k1, k2, lo): ``(k1, k2, span)`` of the words to remove."""
+
+    def single(b: pd.DataFrame) -> pd.DataFrame:
+        lo = b["lo"].to_numpy(np.int64)
+        return pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "span": packed(lo, np.ones(len(lo), np.int64))})
 
     def build(b: pd.DataFrame) -> pd.DataFrame:
         got = marked_leaves(b["words"].tolist(), *(b[k].to_numpy(np.int64) for k in ("k1", "k2", "lo")))
@@ -310,7 +331,21 @@ def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     held: list[pd.DataFrame] = []
     size = 0
+    last: pd.DataFrame | None = None  # the last key's first row, which is held already
     for b in batches:
+        settled = (b["words"].map(len) == 0).to_numpy(dtype=bool)
+        yield single(b[settled])
+        b = b[~settled]
+        if not len(b):
+            continue
+        if last is not None:
+            b = pd.concat([last, b], ignore_index=True)
+        again, moved = lone_windows(b)
+        yield single(b[moved])
+        key = b["key"].to_numpy()
+        heads, carried = b.iloc[[int(np.searchsorted(key, key[-1], side="left"))]], last is not None
+        b = b[~again].iloc[1:] if carried else b[~again]
+        last = heads
         if not len(b):
             continue
         held.append(b)
@@ -334,6 +369,17 @@ def packed(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The words of the segments asked for; ``deep`` ones window by window, each keyed by all its words."""
+    def settled(out: dict[str, list]) -> pd.DataFrame:
+        """A window that a batch holds often leaves one row with words; the others need none."""
+        b = pd.DataFrame(out)
+        if len(b):
+            b = b.sort_values(["key", "k1", "k2", "lo"], ignore_index=True)
+            again, moved = lone_windows(b)
+            b["words"] = b["words"].where(~again, b"")
+            b["key"] = b["key"].where(~again, mixed((b["k2"] ^ b["lo"]).to_numpy(np.int64).view(np.uint64)).view(np.int64))  # spreads them
+            b = b[~again | moved]
+        return b
+
     for b in batches:
         out: dict[str, list] = {k: [] for k in ("key", "k1", "k2", "lo", "words")}
 
@@ -352,9 +398,9 @@ def content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     put(a["m"], k1, k2, lo, h[lo : lo + n + WINDOW - 1].tobytes())
             if len(out["key"]) > 20_000:
-                yield pd.DataFrame(out)
+                yield settled(out)
                 out = {k: [] for k in out}
-        yield pd.DataFrame(out)
+        yield settled(out)
 
 
 # ---- the operator -------------------------------------------------------------------------------
@@ -377,7 +423,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.collect_list(F.struct("lo", "n", "m", F.coalesce("deep", F.lit(False)).alias("deep"))).alias("asked"))
     )
     content = rows.join(asked, ["k1", "k2"]).mapInPandas(content_rows, CONTENT_ROW)
-    leaves = content.repartition("key").sortWithinPartitions("key").mapInPandas(subtrees, "k1 long, k2 long, span long")
+    leaves = content.repartition("key").sortWithinPartitions("key", "k1", "k2", "lo").mapInPandas(subtrees, "k1 long, k2 long, span long")
     return rows, gone.unionByName(leaves)
 
 
