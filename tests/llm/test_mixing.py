@@ -99,3 +99,29 @@ def test_mixed_documents_keep_their_columns(clashing):
     got = mx.mixed_documents(clashing)
     assert got.columns == clashing.columns
     assert {r.doc_id for r in got.collect()} <= {r[0] for r in ROWS}
+
+
+def test_every_pass_has_its_own_position(spark):
+    rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in mx.curriculum(docs).collect() if r.position is not None]
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    first = {r.doc_id: r for r in mx.mix(docs).collect()}
+    assert sum(r.words for r in got) == sum(r.taken for r in first.values()) == 3000
+    assert all(r.position == first[r.doc_id].position for r in got if r["pass"] == 0)
+    # the third source has weight 3 of 6 and a level schedule: 1.5 passes, spread over the whole training
+    c = [r for r in got if r.source == "c"]
+    assert len(c) == 150 and max(r["pass"] for r in c) == 1
+    assert [sum(q * 750 <= r.position < (q + 1) * 750 for r in c) for q in range(4)] == pytest.approx([37.5] * 4, abs=1)
+
+
+def test_mixed_documents_come_in_training_order(spark):
+    rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = [(r.position, r.doc_id) for r in mx.curriculum(docs).collect() if r.words]
+    got = [r.doc_id for r in mx.mixed_documents(docs).collect()]
+    at = {}
+    for p, i in expected:
+        at.setdefault(i, []).append(p)
+    places = [at[i].pop(0) for i in got]
+    assert places == sorted(places) and not any(at.values())

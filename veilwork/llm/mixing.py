@@ -10,7 +10,8 @@ linear schedule. Its integral is the source's cumulative demand; a document that
 after x words of its source's stream is placed at the t where the demand reaches x
 (the inverse of the integral), and documents are range-sorted by that position. The
 stream of a source is its documents in the order of md5(doc_id), repeated until the
-target is met, the last document in part.
+target is met, the last document in part; every pass over a document has a position of
+its own.
 
 Running sums over a source are taken in two levels, over md5 ranges and inside each
 range, so a source that holds most rows is spread over many tasks.
@@ -81,14 +82,18 @@ def inverse_demand(x: Column, knots) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken, position)`` for each row of ``docs``.
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES, keys=()) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken, position, passes)`` for each row of ``docs``.
 
     ``taken`` counts the words that the mix takes from the document, repeats included;
-    ``position`` is the training word at which it is first met (null if never).
+    ``position`` is the training word at which it is first met (null if never);
+    ``passes`` has a (pass, words, position) for each time it is met.
+    ``keys``: further columns of ``docs`` to return, which also order equal rows.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order")), "mix")
+    sizes = stash(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"), *keys), "mix"
+    )
     ranges = 1 << max(4, math.ceil(math.log2(max(1, sizes.count() / RANGE_DOCS))))
     high = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     sizes = sizes.withColumn("range", F.floor(high * F.lit(ranges) / F.lit(1 << 32)).cast("int"))
@@ -104,20 +109,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedule
     )
     inside = (
         Window.partitionBy("source", "range")
-        .orderBy("order", "doc_id", "size")
+        .orderBy("order", "doc_id", "size", *keys)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts, placed["source"].eqNullSafe(F.col("_s")) & (placed["range"] == F.col("_r")))
     start, quota = F.col("base") + F.col("inner"), F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    part = quota - whole * F.col("source_size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part - start))
-    x = F.least(F.lit(1.0), start / quota)
-    at = None
-    for k, knots in reversed(list(enumerate(schedules))):
-        t = inverse_demand(x, knots)
-        at = t if at is None else F.when(F.col("source_no") % len(schedules) == k, t).otherwise(at)
+    last = F.greatest(F.lit(0), F.least(F.col("size"), quota - whole * F.col("source_size") - start))
+    taken = whole * F.col("size") + last
+
+    def place(k: Column) -> Column:
+        """The training word at which pass ``k`` over the source meets the document."""
+        x = F.least(F.lit(1.0), (start + k * F.col("source_size")) / quota)
+        at = None
+        for i, knots in reversed(list(enumerate(schedules))):
+            t = inverse_demand(x, knots)
+            at = t if at is None else F.when(F.col("source_no") % len(schedules) == i, t).otherwise(at)
+        return F.floor(at * F.col("total")).cast("long")
+
+    words = lambda k: F.when(k < whole, F.col("size")).otherwise(last).cast("long")
+    passes = F.transform(
+        F.filter(F.sequence(F.lit(0).cast("long"), whole), lambda k: words(k) > 0),
+        lambda k: F.struct(k.alias("pass"), words(k).alias("words"), place(k).alias("position")),
+    )
     return placed.select(
         "doc_id",
         placed["source"],
@@ -125,27 +140,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedule
         "source_size",
         "target",
         taken.cast("long").alias("taken"),
-        F.when(taken > 0, F.floor(at * F.col("total"))).cast("long").alias("position"),
+        F.when(taken > 0, place(F.lit(0))).alias("position"),
+        passes.alias("passes"),
+        *keys,
     )
 
 
+def by_first_position(docs: DataFrame, **how) -> DataFrame:
+    """``mix`` with a row for each document, in order of ``position``; documents that the mix leaves out come last."""
+    return mix(docs, **how).drop("passes").orderBy(F.col("position").asc_nulls_last(), "doc_id", "size")
+
+
 def curriculum(docs: DataFrame, **how) -> DataFrame:
-    """``mix`` in training order; documents that the mix leaves out come last."""
-    return mix(docs, **how).orderBy(F.col("position").asc_nulls_last(), "doc_id", "size")
+    """The whole mix in training order: a row for each pass over a document, with ``pass``, ``words`` and its own
+    ``position``; documents that the mix leaves out come last, with nulls."""
+    each = mix(docs, **how).drop("position").withColumn("passes", F.explode_outer("passes"))
+    each = each.select(*[c for c in each.columns if c != "passes"], "passes.*")
+    return each.orderBy(F.col("position").asc_nulls_last(), "doc_id", "size", "pass")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix takes them: each row once for each pass, in no order.
+    """``docs`` as the mix takes them, in training order: each row once for each pass, at that pass's position.
 
     A last pass that the target cuts is kept if at least half of the document is taken.
-    Rows that agree in doc_id and size share a decision: their mean.
+    Every row has its own decision, also where doc_ids are null or repeated.
     """
-    m = (
-        mix(docs, **how)
-        .groupBy("doc_id", "size")
-        .agg(F.round(F.avg(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
-        .withColumnRenamed("doc_id", "__id")
-        .withColumnRenamed("size", "__size")
-    )
-    wide = docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]) & (word_count(docs["text"]) == m["__size"]))
-    return wide.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__k")).drop("__k")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("_n"), row), "mix-rows")
+    m = mix(rows.select("_n", "row.doc_id", "row.source", "row.text"), keys=["_n"], **how)
+    met = m.select("_n", "size", F.explode("passes").alias("p")).where(2 * F.col("p.words") >= F.col("size"))
+    met = stash(met.select("_n", F.col("p.pass").alias("_pass"), F.col("p.position").alias("_at")), "mix-passes")
+    return rows.join(met, "_n").orderBy("_at", "_n", "_pass").select("row.*")

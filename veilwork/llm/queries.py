@@ -50,7 +50,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(documents(spark, sf_dir)).select(
+    return mixing.by_first_position(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "position"
     )
 
