@@ -1,12 +1,14 @@
 """Person names by dictionary: candidates by pattern, then membership, never an alternation of all names.
 
-The dictionary of first names is a parameter (``first_names``); ``DEFAULT_NAMES`` is a
-small one of common names, and ``load_names`` reads a larger one from a table or a text
-file with one name a line.
+The dictionary of first names is a parameter (``first_names``); ``DEFAULT_NAMES`` are the
+861 common ones of ``first_names.txt``, read once, and ``load_names`` reads others from a
+text file with one name a line.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +17,7 @@ from .spans import EMPTY
 
 # ---- fixed values --------------------------------------------------------------------------------
 
-DEFAULT_NAMES = tuple(
-    "adam alan albert alex alice alison amanda amy andrea andrew angela ann anna anthony april arthur ashley "
-    "barbara benjamin betty bill bob brandon brenda brian brianna bruce carl carlos carol caroline catherine charles "
-    "charlotte cheryl chris christina christine christopher craig cynthia daniel danielle david deborah denise dennis "
-    "diana diane donald donna dorothy douglas edward elena elizabeth emily emma eric erin ethan eugene evelyn "
-    "frances francisco frank gary george gerald gloria grace grant gregory hannah harold harry heather helen henry "
-    "isabella jack jacob jacqueline james janet jason jean jeffrey jennifer jeremy jessica jim joan john jonathan jordan "
-    "jose joseph joshua juan judith julia julie justin karen kathleen keith kelly kenneth kevin kimberly kyle larry "
-    "laura lauren lawrence linda lisa louis lucas luis madison margaret maria marie mark martha martin mary matthew "
-    "megan melissa michael michelle miguel nancy nathan nicholas nicole olivia pamela patricia patrick paul peter "
-    "philip rachel ralph raymond rebecca richard robert roger ronald rose ruth ryan samantha samuel sandra sara sarah "
-    "scott sean sharon shirley sophia stephanie stephen steven susan teresa theresa thomas timothy tyler victoria "
-    "vincent virginia walter wayne william zachary".split()
-)
+DEFAULT_NAMES = tuple(Path(__file__).with_name("first_names.txt").read_text("ascii").split())
 #: First names that are also common words; they don't count alone.
 AMBIGUOUS = tuple(
     "april may june aurora autumn dawn summer amber crystal ruby jasmine rose lily iris hazel olive pearl grace hope faith "
