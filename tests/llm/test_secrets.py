@@ -60,3 +60,22 @@ def test_odd_rows(odd, clashing, empty):
     assert sorted_rows(sc.report(clashing)) == sorted_rows(sc.report(odd))
     assert sc.report(odd).count() == len(ROWS)
     assert sc.report(empty).collect() == []
+
+
+def test_letters_only_and_secrets_behind_long_prefixes_are_reported(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = sc.fit(sc.random_samples(spark).unionByName(sc.identifier_samples(docs)))
+    rnd = random.Random(7)
+    key = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    far = "srv/configuration/environments/production/database/credentials/primary_connection_value="
+    secret = [key(20, sc.ALPHABET[:52]) for _ in range(100)]
+    secret += ["credential_for_production_database=" + key(20, sc.ALPHABET[:62]) for _ in range(100)]
+    secret += [far + key(20, sc.ALPHABET[:52]) for _ in range(100)]
+    plain = [far, "THE_DEFAULT_CONNECTION_TIMEOUT", "INTERNATIONALIZATION_SETTINGS", "Donaudampfschifffahrtsgesellschaft"]
+    plain += [c * 60 for c in "-=_/+z"] + ["-=" * 20]
+    rows = list(enumerate(secret + plain))
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in rows], "doc_id long, text string")
+    hit = {r.doc_id: r.spans for r in sc.report(df, ratios).where("spans <> ''").collect()}
+    assert all(s == f"random:4:{4 + len(rows[i][1])}" for i, s in hit.items())
+    assert sum(i < len(secret) for i in hit) >= 0.99 * len(secret)
+    assert [rows[i][1] for i in sorted(hit) if i >= len(secret)] == []

@@ -2,12 +2,16 @@
 
 Three base rules find spans by pattern. The method adds tokens that look random: two
 character Markov models, one of random strings and one of ordinary identifiers, give
-every transition a log-likelihood ratio, and a token whose mean ratio is above
-``MIN_MEAN`` is reported unless it overlaps a base span.
+every transition a log-likelihood ratio. A token is a run of ``ALPHABET`` of at least
+``MIN_TOKEN`` characters, ``MIN_KINDS`` of them different, which rules and padding aren't.
+It is reported if its mean ratio, or that of a part between separators (``/ _ = -``) that
+is itself as long as a token, is above ``MIN_MEAN``, unless it overlaps a base span. So a
+secret behind a long name or path isn't averaged away; one that separators cut into
+shorter parts has the whole run's mean only.
 
 The models are transition counts with add-one smoothing over labelled samples: random
 strings are written out by rule (digests of numbers in hex, base64 and upper case),
-ordinary identifiers are words and snake, camel and path names made of neighbouring
+ordinary identifiers are words and snake, camel, constant and path names made of neighbouring
 words of at most ``SAMPLE_DOCS`` documents, those with the smallest hash of doc_id. The table of ratios has a
 fixed size (the alphabet squared), so it may visit the driver.
 
@@ -38,7 +42,10 @@ MIN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+MIN_TOKEN = 20
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+SEPARATORS = "[/_=-]+"
+MIN_KINDS = 6
 MIN_MEAN = 0.5
 SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 20_000
@@ -83,6 +90,7 @@ def identifier_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
             lambda b: F.array(
                 a,
                 F.concat(a, F.lit("_"), b),
+                F.concat(F.upper(a), F.lit("_"), F.upper(b)),
                 F.concat(F.lower(a), F.initcap(b), (i % 100).cast("string")),
                 F.concat(a, F.lit("/"), b, F.lit("-"), (i % 10).cast("string")),
             ),
@@ -133,12 +141,14 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
 
 
 def random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
-    """Tokens that look random and overlap no base span."""
+    """Tokens that look random, as a whole or in a long part, and overlap no base span."""
 
     def fits(s: Column) -> Column:
         free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        mixed = s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")
-        return mixed & free & (mean_ratio(s["text"], ratios) > MIN_MEAN)
+        varied = F.size(F.array_distinct(F.split(s["text"], ""))) >= MIN_KINDS
+        parts = F.filter(F.split(s["text"], SEPARATORS), lambda p: F.length(p) >= MIN_TOKEN)
+        scored = F.concat(F.array(s["text"]), parts)
+        return varied & free & F.exists(scored, lambda p: mean_ratio(p, ratios) > MIN_MEAN)
 
     found = F.filter(match_spans(text, TOKEN), fits)
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
