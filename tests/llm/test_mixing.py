@@ -125,3 +125,10 @@ def test_mixed_documents_come_in_training_order(spark):
         at.setdefault(i, []).append(p)
     places = [at[i].pop(0) for i in got]
     assert places == sorted(places) and not any(at.values())
+
+
+def test_rows_of_several_sources_that_share_an_id_follow_their_targets(spark):
+    rows = [(None, "w " * 10, "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.source: r["count"] for r in mx.mixed_documents(docs).groupBy("source").count().collect()}
+    assert got == {"a": 50, "b": 100, "c": 150}
