@@ -1,22 +1,23 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from veilwork.llm import token_store as ts
+from veilwork.llm.common import running_base
 from veilwork.llm.queries import tokenizer_file
 
 from .conftest import ROWS, sorted_rows
 
 PATH = tokenizer_file("byte_bpe_50k.json")
+TEXTS = st.text(st.one_of(st.sampled_from(" \n\t.,'ab<|éA1 \x85\xa0\u3000"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(deadline=None, max_examples=60)
@@ -34,9 +35,9 @@ def test_elias_fano_is_small():
 
 
 @settings(deadline=None, max_examples=150)
-@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t.,'ab<|éA1 "), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=6))
+@given(st.lists(st.one_of(TEXTS, st.lists(st.one_of(TEXTS, st.just("<|endoftext|>")), max_size=5).map("".join)), max_size=6))
 def test_encoder_equals_the_library(texts):
-    ids, sizes = ts.encoder(PATH)(texts)
+    ids, sizes = ts.encoder(PATH)(pa.array(texts, pa.string()))
     expected = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
     assert sizes.tolist() == [len(e) for e in expected]
     assert ids.tolist() == [i for e in expected for i in e]
@@ -65,3 +66,19 @@ def test_odd_rows(odd, clashing, empty):
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
     assert rows[0].doc_id is None and rows[1].doc_id is None
     assert ts.stored_documents(empty, PATH).collect() == []
+
+
+def test_added_tokens_and_many_shards_equal_the_library(spark):
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "two  <|endoftext|>  more", "", None, "x " * 50] * 3
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = ts.shared_path(spark, "tokens-test")
+    ts.write_tokens(docs, path, PATH, shard_chars=60)
+    assert spark.read.parquet(path).count() > 5
+    assert sorted_rows(ts.read_documents(spark, path)) == sorted(brute(rows), key=repr)
+
+
+def test_running_base_over_levels(spark):
+    rows = [(b, i, (7 * i + b) % 11) for b in (0, 1) for i in range(0, 90, 1 + b)]
+    got = running_base(spark.createDataFrame(rows, "b int, i long, v long"), "i", "v", "base", ("b",), bits=2)
+    assert sorted_rows(got) == sorted(((b, i, sum(v for c, j, v in rows if c == b and j < i)) for b, i, _ in rows), key=repr)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words, as a character class body.
@@ -74,6 +74,28 @@ def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def running_base(parts: DataFrame, index: str, value: str, name: str, by: tuple = (), bits: int = 10) -> DataFrame:
+    """``(by, index, name)``: the sum of ``value`` over the rows of the same ``by`` with a smaller ``index``.
+
+    ``parts`` has a row for each (by, index), the index a long from 0 on, ``by`` without nulls. Sums are taken in
+    three levels of ``2 ** bits`` neighbours, so only a millionth of the rows of one ``by`` meet in a task.
+    """
+    up, top = "_up", "_top"
+    rows = parts.select(*by, index, F.col(value).alias("_v"), F.shiftright(index, bits).alias(up), F.shiftright(index, 2 * bits).alias(top))
+    middle = rows.groupBy(*by, up, top).agg(F.sum("_v").alias("_v"))
+    high = middle.groupBy(*by, top).agg(F.sum("_v").alias("_v"))
+
+    def based(df: DataFrame, within: list, order: str, out: str) -> DataFrame:
+        w = Window.partitionBy(*within, *([] if within else [F.lit(0)])).orderBy(order)
+        return df.withColumn(out, F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_v")
+
+    low = based(rows, [*by, up], index, "_b0").drop(top)
+    middle, high = based(middle, [*by, top], up, "_b1"), based(high, [*by], top, "_b2")
+    return low.join(middle.join(high, [*by, top]), [*by, up]).select(
+        *by, index, (F.col("_b0") + F.col("_b1") + F.col("_b2")).alias(name)
+    )
+
+
 def first_by_hash(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
     """About the ``n`` rows with the smallest hash of ``key``, at most ``n``, of a table with ``rows`` rows.
 

@@ -6,11 +6,12 @@ little-endian integers, followed by the document boundaries as an Elias-Fano seq
 doc_ids. A select structure, one sample per 256 set bits plus a word-wise popcount,
 returns any offset without a table of 64-bit offsets.
 
-Shards are files of a binary Parquet table in the folder ``path``, one row per shard, so that any store
-that Spark writes to will do; a shard carries ``first``, the number of ids before it.
+Shards are rows of a binary Parquet table in the folder ``path``, so that any store that Spark writes to will
+do. Their sizes, summed in levels, give the number of ids before each of them.
 
-Defined cases: a null text is an empty one (only the end id); a null doc_id sorts first;
-equal rows are stored each; an empty table stores nothing. Other columns are ignored.
+Defined cases: a null text is an empty one (only the end id); the string of an added token in a text is that
+token, as the library has it; a null doc_id sorts first; equal rows are stored each; an empty table stores
+nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +22,32 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, shared_path
-from .piece_store import PieceStore, per_text
+from .common import remove, running_base, shared_path
+from .piece_store import PieceStore, PieceTable, expand, per_text, slice_hashes
 
 MAGIC = b"VWTOK1"
 #: Characters of text that one shard gets, about; a shard is held in memory by its writer and reader.
 SHARD_CHARS = 6_000_000
-#: Distinct pieces that a worker remembers.
-CACHE_PIECES = 900_000
+#: Characters of text in one range of doc_id, about, where there are many; a range is one task's.
+PART_CHARS = 192_000_000
+#: Characters encoded at a time, about.
+ENCODE_CHARS = 3_000_000
+#: A shard's number is its range's, shifted by so many bits, and its place in the range.
+SHARD_BITS = 20
+SHARD_ROW = pa.schema([("shard", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+#: Distinct pieces that a worker remembers, and their ids.
+CACHE_PIECES = 1_000_000
+CACHE_IDS = 16_000_000
+#: Longer pieces (bytes) aren't remembered.
+LONG_PIECE = 128
+#: Pieces given to the library as one text.
+GROUP_PIECES = 200
 SAMPLE = 256
 END_ID = 0
 
@@ -143,115 +158,150 @@ class Shard:
 
 # ---- encoding -----------------------------------------------------------------------------------
 
-
-class Numbers(dict):
-    """Piece -> number; a piece that is new gets the next one and waits in ``fresh`` for its ids."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list = []
-
-    def __missing__(self, piece) -> int:
-        n = self[piece] = len(self)
-        self.fresh.append(piece)
-        return n
+def _boundary_table() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of bytes, and the pairs of classes between which a token always starts (those of ASCII only)."""
+    kind = np.zeros(256, dtype=np.uint8)
+    for i in range(33, 127):
+        kind[i] = 1 if chr(i).isalpha() else 2 if chr(i).isdigit() else 3
+    kind[10] = 4
+    pair = np.zeros((8, 8), dtype=bool)
+    pair[1, [2, 3]] = pair[2, [1, 3]] = pair[[1, 2, 3], 4] = pair[4, [1, 2, 3]] = True
+    return kind, pair.ravel()
+
+
+KIND, STARTS = _boundary_table()
+
+
+def starts_inside(raw: np.ndarray) -> np.ndarray:
+    """Mask of the bytes that start a token by their class and the one before's."""
+    kind, out = KIND[raw], np.zeros(len(raw), dtype=bool)
+    out[1:] = STARTS[kind[:-1] << 3 | kind[1:]]
+    return out
+
+
+def starts_before_word(raw: np.ndarray) -> np.ndarray:
+    """Mask of the spaces that a character other than white space follows, in UTF-8 bytes."""
+    out = raw == 32
+    out[-1:] = False
+    at = np.flatnonzero(out)
+    nxt = raw[at + 1]
+    white = (nxt >= 9) & (nxt <= 13) | (nxt >= 28) & (nxt <= 32)
+    wide = np.flatnonzero(np.isin(nxt, (0xC2, 0xE1, 0xE2, 0xE3)))
+    if len(wide):  # white space of two or three bytes
+        i = at[wide] + 1
+        a, b = raw[i + 1], raw[np.minimum(i + 2, len(raw) - 1)]
+        two = (raw[i] == 0xC2) & ((a == 0x85) | (a == 0xA0))
+        general = (a == 0x80) & ((b <= 0x8A) | (b == 0xA8) | (b == 0xA9) | (b == 0xAF)) | (a == 0x81) & (b == 0x9F)
+        three = (raw[i] == 0xE1) & (a == 0x9A) & (b == 0x80) | (raw[i] == 0xE2) & general | (raw[i] == 0xE3) & (a == 0x80) & (b == 0x80)
+        white[wide] = two | three
+    out[at[white]] = False
+    return out
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level ``tokenizers`` file, each distinct piece once.
+    """Encodes texts with a byte-level ``tokenizers`` file as the library does, each distinct piece once.
 
     The vocabulary's pre-tokeniser never joins characters across a space that a
-    non-space follows, so a text splits there into pieces whose ids are independent.
-    Texts where white space meets white space are cut more coarsely, by a pattern.
+    non-space follows, nor letters, digits and what comes after them, nor a line's end and
+    its neighbours. Texts split there into pieces whose ids are independent. Pieces are told
+    apart by two 64-bit hashes, and long ones aren't remembered. A text that holds the string
+    of an added token goes to the library whole.
     """
 
     def __init__(self, path: str):
-        import re
+        import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        raw = {v: k for k, v in self.tok.get_vocab(with_added_tokens=False).items()}
+        with open(path) as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        rest = {k: v for k, v in model.items() if k not in ("type", "vocab", "merges") and v is not None}
+        self.tok.model = models.BPE(model["vocab"], merges, cache_capacity=0, **rest)  # pieces are distinct
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # a token's characters stand for one byte each
-        self.width = np.zeros(max(raw) + 2, dtype=np.int32)
-        for i, t in raw.items():
+        self.width = np.zeros(max(model["vocab"].values()) + 2, dtype=np.int32)
+        for t, i in model["vocab"].items():
             self.width[i] = len(t)
-        self.odd = re.compile(r" (?:\s|$)")
-        self.cut = re.compile(r"(?= \S)(?<!^)")
-        self.tails = {c: self._encode([c])[0][0] for c in ".,"}
-        self.tok.model._resize_cache(0)  # pieces are distinct
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = Numbers()
-        self.store = PieceStore()
-        self.slot = np.zeros(1 << 14, dtype=np.int64)  # a piece's place in the store, by its number
-
-    def _put(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.slot[self._numbers(pieces)] = self.store.add(ids, sizes)
-
-    def _numbers(self, pieces: list) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-
-    def _learn(self) -> None:
-        """Encode the pieces that are new. A word and the full stop or comma after it are pre-tokens of their
-        own, so the word is encoded once for all."""
-        whole = [p for p in self.numbers.fresh if type(p) is bytes]
-        inner = [p for p in self.numbers.fresh if type(p) is str]
-        self.numbers.fresh = []
-        tailed = [p for p in inner if p[-1:] in self.tails and p[-2:-1].isalpha() and p[-2] < "\u0250"]
-        base = self._numbers([p[:-1] for p in tailed])
-        bare = [*set(inner).difference(tailed), *self.numbers.fresh]
-        self.numbers.fresh = []
-        if len(self.slot) < len(self.numbers):
-            self.slot = np.concatenate([self.slot, np.zeros(len(self.numbers), dtype=np.int64)])
-        if whole:
-            got = self._encode([p.decode() for p in whole])
-            self._put(whole, np.array([i for g in got for i in g], dtype=np.uint32), np.array([len(g) for g in got], dtype=np.int64))
-        self._encode_inner(bare)
-        if not tailed:
-            return
-        known, n = self.store.gather(self.slot[base])
-        sizes = n + 1
-        keep = np.ones(int(sizes.sum()), dtype=bool)
-        keep[np.cumsum(sizes) - 1] = False
-        ids = np.empty(len(keep), dtype=np.uint32)
-        ids[keep] = known
-        ids[~keep] = [self.tails[p[-1]] for p in tailed]
-        self._put(tailed, ids, sizes)
-
-    def _encode_inner(self, pieces: list[str]) -> None:
-        """Pieces are encoded many at once; the bytes of the ids tell where each one's ids end."""
-        groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
-        for g, e in zip(groups, self._encode([" " + " ".join(g) for g in groups])):
-            ends = np.cumsum([len(p.encode()) + 1 for p in g])
-            ids = np.array(e, dtype=np.uint32)
-            cut = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            self._put(g, ids, np.diff(cut, prepend=0))
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list:
-        """Pieces of a text: bytes as they stand, str without the space before them."""
-        if self.odd.search(text) or text.startswith(" "):
-            return [p.encode() for p in self.cut.split(text)]
-        out: list = text.split(" ")
-        out[0] = out[0].encode()
-        return out
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.table, self.store = PieceTable(), PieceStore()
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _put(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encode these slices of ``raw``; their places in the store. Those that begin with a space are encoded
+        many at once, and the bytes of the ids tell where each one's ids end."""
+        slots = np.empty(len(start), np.int64)
+        spaced = raw[start] == 32
+        alone, many = np.flatnonzero(~spaced), np.flatnonzero(spaced)
+        if len(alone):
+            texts = [raw[a : a + n].tobytes() for a, n in zip(start[alone].tolist(), size[alone].tolist())]
+            slots[alone] = self.store.add(*self._encode(texts))
+        if len(many):
+            joined, ends = raw[expand(start[many], size[many])].tobytes(), np.cumsum(size[many])
+            cuts = [0, *ends[GROUP_PIECES - 1 : -1 : GROUP_PIECES].tolist(), len(joined)]
+            ids, _ = self._encode([joined[a:z] for a, z in zip(cuts, cuts[1:])])
+            last = np.searchsorted(np.cumsum(self.width[ids], dtype=np.int64), ends, side="left") + 1
+            slots[many] = self.store.add(ids, np.diff(last, prepend=0))
+        return slots
+
+    def _plain(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that ``edges`` cut ``raw`` into, and how many each has."""
+        cut = starts_before_word(raw) | starts_inside(raw)
+        begins = edges[:-1][np.diff(edges) > 0]
+        last = begins[begins > 0] - 1
+        cut[last[raw[last] == 32]] = False  # a text's last space has nothing after it
+        cut[begins] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, len(raw)))
+        short = size <= LONG_PIECE
+        a, b = slice_hashes(raw, start, size)
+        slots = np.where(short, self.table.find(a, b), -1)
+        new = np.flatnonzero(slots < 0)
+        kept = new[short[new]]
+        if len(kept):
+            first, inverse = np.unique(a[kept], return_index=True, return_inverse=True)[1:]
+            rows = kept[first]
+            same = b[kept] == b[rows][inverse]
+            got = self._put(raw, start[rows], size[rows])
+            self.table.put(a[rows], b[rows], got)
+            slots[kept[same]] = got[inverse[same]]
+            new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = self._put(raw, start[new], size[new])
+        ids, sizes = self.store.gather(slots)
+        return ids, per_text(sizes, np.diff(np.searchsorted(start, edges)))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if self.store.count > CACHE_PIECES:
+        if self.table.count > CACHE_PIECES or self.store.used > CACHE_IDS:
             self.clear()
-        pieces = list(map(self._pieces, texts))
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(n.sum()))
-        if self.numbers.fresh:
-            self._learn()
-        ids, sizes = self.store.gather(self.slot[numbers])
-        return ids, per_text(sizes, n)
+        whole = np.zeros(len(texts), dtype=bool)
+        for t in self.added:
+            whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._plain(*bytes_of(texts))
+        ids, sizes = self._plain(*bytes_of(texts.filter(pa.array(~whole))))
+        apart, n_apart = self._encode([t.encode() for t in texts.filter(pa.array(whole)).to_pylist()])
+        n, start = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        n[~whole], n[whole] = sizes, n_apart
+        start[~whole], start[whole] = np.cumsum(sizes) - sizes, len(ids) + np.cumsum(n_apart) - n_apart
+        return np.concatenate([ids, apart])[expand(start, n)], n
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and the edges between them."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return raw[edges[0] : edges[-1]], edges - edges[0]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -276,43 +326,75 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarra
     return out, bounds
 
 
+def parts_for(spark: SparkSession, chars: int, shard_chars: int) -> int:
+    """Ranges of doc_id: enough to keep the cores busy, else ``PART_CHARS`` each, so that the sample which
+    finds their bounds stays small beside the table."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(-(-chars // shard_chars), max(4 * cores, -(-chars // PART_CHARS))))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_chars: int = SHARD_CHARS) -> None:
-    """Encode ``docs`` (doc_id, text) and write shards in ascending doc_id order to ``path``."""
+    """Encode ``docs`` (doc_id, text) and write shards in ascending doc_id order to ``path``.
+
+    A task takes one range of doc_id, sorted, and writes a shard for every ``shard_chars`` characters of it.
+    """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .withColumn("shard", F.spark_partition_id())
+        docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+        .repartitionByRange(parts_for(docs.sparkSession, chars, shard_chars), *order)
+        .sortWithinPartitions(*order)
     )
 
-    def shard_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
-        ids, sizes, keys, nulls, no = [], [], [], [], -1
+    def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, part, no = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        keys: list[pa.Array] = []
+
+        def shard() -> pa.RecordBatch:
+            out, bounds = with_end(np.concatenate(ids), np.concatenate(sizes), end_id)
+            key = pa.concat_arrays(keys)
+            raw = pack_shard(key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), out, bounds)
+            for held in (ids, sizes, keys):
+                held.clear()
+            row = {"shard": [part << SHARD_BITS | no], "n_ids": [len(out)], "data": [raw]}
+            return pa.RecordBatch.from_pydict(row, schema=SHARD_ROW)
+
+        chars = 0
         for b in batches:
-            if not len(b):
-                continue
-            got, n = enc(b["text"].tolist())
-            ids.append(got.astype(np.uint32))
-            sizes.append(n)
-            keys.append(b["doc_id"].fillna(0).to_numpy(np.int64))
-            nulls.append(b["doc_id"].isna().to_numpy())
-            no = int(b["shard"].iloc[0])
+            text, doc_id = b.column("text"), b.column("doc_id")
+            length = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, z in spans_of(length, ENCODE_CHARS):
+                got, n = enc(text.slice(a, z - a))
+                ids.append(got)
+                sizes.append(n)
+                keys.append(doc_id.slice(a, z - a))
+                chars += int(length[a:z].sum())
+                if chars >= shard_chars:
+                    yield shard()
+                    chars, no = 0, no + 1
         if ids:
-            out, bounds = with_end(np.concatenate(ids), np.concatenate(sizes), end_id)
-            raw = pack_shard(np.concatenate(keys), np.concatenate(nulls), out, bounds)
-            yield pd.DataFrame({"shard": [no], "n_ids": [len(out)], "data": [raw]})
+            yield shard()
 
-    ranged.mapInPandas(shard_of, "shard int, n_ids long, data binary").write.option("compression", "zstd").option(
+    ranged.mapInArrow(shards_of, "shard long, n_ids long, data binary").write.option("compression", "zstd").option(
         "parquet.enable.dictionary", "false"
     ).parquet(path)
 
 
+def spans_of(length: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Slices of consecutive texts with about ``limit`` characters each; a longer text makes one of its own."""
+    ends = np.cumsum(length)
+    a = 0
+    while a < len(length):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield a, z
+        a = z
+
+
 def firsts(files: DataFrame) -> DataFrame:
-    """``(shard, first)``: the number of ids before each shard, from the shards' sizes, one small row for each file."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    """``(shard, first)``: the number of ids before each shard, from the shards' sizes, one small row for each shard."""
+    return running_base(files.select("shard", "n_ids"), "shard", "n_ids", "first")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -322,25 +404,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.parquet(path)
 
-    def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for no, raw in zip(b["shard"], b["data"]):
+            for no, raw in zip(b.column("shard").to_pylist(), b.column("data").to_pylist()):
                 s = Shard(raw)
                 bounds = s.bounds.values()
                 words, cuts = s.ids.astype("<u4").data.cast("B"), (4 * bounds).tolist()
-                yield pd.DataFrame(
-                    {
-                        "shard": no,
-                        "doc_id": pd.array(s.doc_ids, dtype="Int64").copy(),
-                        "start": bounds[:-1],
-                        "n_tokens": np.diff(bounds),
-                        "ids_crc32": [zlib.crc32(words[a:z]) for a, z in zip(cuts, cuts[1:])],
-                        "gone": s.null_ids.astype(bool),
-                    }
-                ).assign(doc_id=lambda d: d["doc_id"].mask(d.pop("gone")))
-
-    rows = files.select("shard", "data").mapInPandas(
-        each, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
+                crc = [zlib.crc32(words[a:z]) for a, z in zip(cuts, cuts[1:])]
+                doc_id = pa.array(s.doc_ids, mask=s.null_ids.astype(bool))
+                row = [pa.array(np.full(s.n, no)), doc_id, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(row, ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    rows = files.select("shard", "data").mapInArrow(
+        each, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
     return rows.join(firsts(files), "shard").select(
         "doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
