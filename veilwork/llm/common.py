@@ -74,6 +74,22 @@ def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+#: Keys that hold more than this part of all rows are hot; there are no more than HOT of them.
+HOT = 1000
+
+
+def found_in(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``table`` (inner), which has each ``key`` once with the number of its rows in ``count``.
+
+    Hot keys, at most ``HOT`` as each has more than its part of all rows, are broadcast; the rest meet in a shuffle
+    in which no key has many rows. Both tables are read twice, so they should be stored ones.
+    """
+    most = (table.agg(F.sum(count)).first()[0] or 0) // HOT
+    hot = F.broadcast(table.where(F.col(count) > most).drop(count))
+    cold = table.where(F.col(count) <= most).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def running_base(parts: DataFrame, index: str, value: str, name: str, by: tuple = (), bits: int = 10) -> DataFrame:
     """``(by, index, name)``: the sum of ``value`` over the rows of the same ``by`` with a smaller ``index``.
 

@@ -1,41 +1,50 @@
 """DuckDB SQL for the operators that SQL can express."""
 
 OP5 = """
-with d as (
-  select doc_id, source, text,
+with recursive d as (
+  select row_number() over () as r, doc_id, source,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-         md5(coalesce(cast(doc_id as varchar), '')) as o
+         md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')) as o
   from documents),
-s0 as (
-  select source, cast(sum(size) as bigint) as source_size,
-         row_number() over (order by source nulls last) - 1 as no
+names as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as no
   from d group by source),
-s1 as (
-  select *, cast(1 + no % 3 as double) as weight, 3 * source_size as cap,
-         3 * source_size / cast(1 + no % 3 as double) as ratio,
-         cast(sum(source_size) over () as bigint) as total from s0),
-s2 as (
-  select *, (total - coalesce(sum(cap) over (order by ratio, no rows between unbounded preceding and 1 preceding), 0))
-         / sum(weight) over (order by ratio, no rows between current row and unbounded following) as lam from s1),
-s3 as (select *, max(case when lam <= ratio then lam end) over () as lvl from s2),
+-- sources reach their limit one round after the other; what is left is shared among the others
+rounds(n, no, capped, part) as (
+  select 0, no, false, 0.0::double from names
+  union all
+  select n + 1, no, capped or share > 3 * source_size, case when capped or share > 3 * source_size then 3.0 * source_size else share end
+  from (
+    select n, no, source_size, capped,
+           (1 + no % 3) * (sum(source_size) over () - coalesce(sum(3.0 * source_size) filter (capped) over (), 0))
+           / sum(1.0 + no % 3) filter (not capped) over () as share
+    from rounds join names using (no))
+  where n <= (select count(*) from names)),
 s as (
-  select source, no, source_size, total, least(weight * lvl, cast(cap as double)) as target,
-         cast(round(least(weight * lvl, cast(cap as double))) as bigint) as quota from s3),
+  select source, no, source_size, part as target, cast(round(part) as bigint) as quota,
+         sum(case when no % 3 = 0 then round(part) else 0 end) over () as rising,
+         sum(case when no % 3 = 1 then round(part) else 0 end) over () as falling,
+         sum(case when no % 3 = 2 then round(part) else 0 end) over () as level
+  from names join (select * from rounds where n = (select max(n) from rounds)) using (no)),
 p as (
-  select d.doc_id, d.size, s.*,
-         cast(coalesce(sum(d.size) over (partition by d.source order by d.o, d.doc_id, d.size
+  select d.r, d.doc_id, d.size, s.*,
+         cast(coalesce(sum(d.size) over (partition by d.source order by d.o, d.doc_id nulls first, d.size
               rows between unbounded preceding and 1 preceding), 0) as bigint) as start
   from d join s on d.source is not distinct from s.source),
-q as (
-  select *, case when source_size > 0 then quota // source_size else 0 end as whole, start / quota as x from p),
-r as (
-  select *, whole * size + greatest(0, least(size, quota - whole * source_size - start)) as taken,
-         case no % 3 when 0 then (sqrt(0.25 + 2.0 * x) - 0.5) / 1.0
-                     when 1 then (sqrt(greatest(0, 2.25 - 2.0 * x)) - 1.5) / -1.0
-                     else x end as t from q)
-select doc_id, size, source_size, target, cast(taken as bigint) as taken,
-       case when taken > 0 then cast(floor(t * total) as bigint) end as position
-from r
+k as (select *, unnest([0, 1, 2, 3]) as k from p),
+m as (
+  select r, k, least(size, quota - k * source_size - start) as words, rising, falling, level,
+         case no % 3 when 0 then (sqrt(1 + 8 * x) - 1) / 2 when 1 then (3 - sqrt(greatest(0, 9 - 8 * x))) / 2 else x end as t
+  from (select *, least(1, (start + k * source_size) / quota) as x from k) z
+  where size > 0 and start + k * source_size < quota),
+w as (
+  select r, sum(words) as taken, min(pos) as position, string_agg(cast(pos as varchar), ',' order by k) as positions
+  from (
+    select *, cast(floor(0.001 + rising * t * (1 + t) / 2 + falling * t * (3 - t) / 2 + level * t) as bigint) as pos from m)
+  group by r)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken, position,
+       coalesce(positions, '') as positions
+from p left join w using (r)
 """
 
 OP10 = """

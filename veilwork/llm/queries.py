@@ -50,8 +50,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions = F.array_join(F.col("passes.position").cast("array<string>"), ",").alias("positions")
     return mixing.by_first_position(documents(spark, sf_dir)).select(
-        "doc_id", "size", "source_size", "target", "taken", "position"
+        "doc_id", "size", "source_size", "target", "taken", "position", positions
     )
 
 
