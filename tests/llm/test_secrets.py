@@ -40,7 +40,7 @@ def test_base_spans_equal_python(spark):
 
 def test_random_tokens_are_told_from_identifiers(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    ratios = sc.fit(sc.random_samples(spark).unionByName(sc.identifier_samples(docs)))
+    ratios = sc.fit(docs)
     rnd = random.Random(3)
     secret = ["".join(rnd.choice(sc.ALPHABET[:62]) for _ in range(28)) for _ in range(300)]
     secret += [f"{rnd.getrandbits(160):040X}" for _ in range(300)]
@@ -64,7 +64,7 @@ def test_odd_rows(odd, clashing, empty):
 
 def test_letters_only_and_secrets_behind_long_prefixes_are_reported(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    ratios = sc.fit(sc.random_samples(spark).unionByName(sc.identifier_samples(docs)))
+    ratios = sc.fit(docs)
     rnd = random.Random(7)
     key = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
     far = "srv/configuration/environments/production/database/credentials/primary_connection_value="
@@ -79,3 +79,19 @@ def test_letters_only_and_secrets_behind_long_prefixes_are_reported(spark):
     assert all(s == f"random:4:{4 + len(rows[i][1])}" for i, s in hit.items())
     assert sum(i < len(secret) for i in hit) >= 0.99 * len(secret)
     assert [rows[i][1] for i in sorted(hit) if i >= len(secret)] == []
+
+
+def test_identifier_counts_are_those_of_the_names_written_out(spark):
+    docs = spark.createDataFrame([(1, "One (two) two, naïve x 3rd\nTWO..."), (None, None), (2, "One ab-cd two")], "doc_id long, text string")
+    n = {r.w: 0 for r in sc.plain_words(docs).collect()}
+    for r in sc.plain_words(docs).collect():
+        n[r.w] += r.n
+    assert n == {"One": 2, "two": 3, "TWO": 1}
+    expected = {}
+    for r in sc.plain_words(docs).collect():
+        w, k = r.w, str(r.n % 100)
+        for name in (w, f"{w}_{w}", f"{w}_{w}".upper(), w.lower() + w.capitalize() + k, f"{w}/{w}-{k}"):
+            for pair in zip(name, name[1:]):
+                expected[pair] = expected.get(pair, 0) + r.n
+    assert sc.identifier_transitions(docs) == expected
+    assert sc.identifier_transitions(docs.limit(0)) == {}

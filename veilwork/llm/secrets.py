@@ -11,9 +11,11 @@ shorter parts has the whole run's mean only.
 
 The models are transition counts with add-one smoothing over labelled samples: random
 strings are written out by rule (digests of numbers in hex, base64 and upper case),
-ordinary identifiers are words and snake, camel, constant and path names made of neighbouring
-words of at most ``SAMPLE_DOCS`` documents, those with the smallest hash of doc_id. The table of ratios has a
-fixed size (the alphabet squared), so it may visit the driver.
+ordinary identifiers are the words of all documents in the shapes that names have (plain,
+snake, constant, camel with a number, path), each as often as it occurs. Their counts
+follow from the words' letter pairs and ends, so the shapes need not be written out; they
+are scaled to the random sample's size, so that smoothing acts alike on corpora of every
+size. The table of ratios has a fixed size (the alphabet squared), so it may visit the driver.
 
 Defined cases: a null text is an empty one; rows are scanned each by itself, so null or
 repeated doc_ids and equal rows do no harm; an empty table trains on the random strings
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.arrays import let
 from veilwork.functions.spans import match_spans
 
-from .common import first_by_hash
+from .common import stash
 from .quality import words
 
 KINDS = ("assign", "access", "hex", "random")
@@ -47,7 +49,6 @@ TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 SEPARATORS = "[/_=-]+"
 MIN_KINDS = 6
 MIN_MEAN = 0.5
-SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 20_000
 
 
@@ -73,30 +74,7 @@ def random_samples(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     digest = F.sha2(F.col("id").cast("string"), 256)
     b64 = F.base64(F.unhex(digest))
     shapes = F.array(F.substring(digest, 1, 40), b64, F.translate(b64, "+/=", "-_"), F.upper(F.translate(b64, "+/=", "")))
-    return spark.range(n).select(F.get(shapes, (F.col("id") % 4).cast("int")).alias("token"), F.lit(1).alias("label"))
-
-
-def identifier_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
-    chosen = first_by_hash(docs.select("doc_id", "text"), "doc_id", n, docs.count())
-    bare = F.filter(
-        F.transform(words(F.col("text")), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")),
-        lambda w: w.rlike(r"^[A-Za-z]{2,}$"),
-    )
-    # ordinary names are words, and words put together
-    named = F.transform(
-        F.col("w"),
-        lambda a, i: let(
-            F.coalesce(F.get(F.col("w"), i + 1), a),
-            lambda b: F.array(
-                a,
-                F.concat(a, F.lit("_"), b),
-                F.concat(F.upper(a), F.lit("_"), F.upper(b)),
-                F.concat(F.lower(a), F.initcap(b), (i % 100).cast("string")),
-                F.concat(a, F.lit("/"), b, F.lit("-"), (i % 10).cast("string")),
-            ),
-        ),
-    )
-    return chosen.select(bare.alias("w")).select(F.explode(F.flatten(named)).alias("token"), F.lit(0).alias("label"))
+    return spark.range(n).select(F.get(shapes, (F.col("id") % 4).cast("int")).alias("token"))
 
 
 def codes(token: Column) -> Column:
@@ -104,30 +82,79 @@ def codes(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def fit(samples: DataFrame) -> list[float]:
-    """Ratios of all transitions from ``(token, label)``, row by row of the table; 1 marks random strings."""
-    size = len(ALPHABET)
-    pair = F.col("a") * size + F.col("b")
-    steps = samples.select("label", codes(F.col("token")).alias("c")).select(
-        "label", F.explode(F.zip_with("c", F.slice("c", 2, F.size("c")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    )
+def transitions(samples: DataFrame) -> dict[tuple[str, str], float]:
+    """How often one character of the alphabet follows another in the ``token`` column."""
+    step = F.zip_with("c", F.slice("c", 2, F.size("c")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     counts = (
-        steps.select("label", F.col("col.a").alias("a"), F.col("col.b").alias("b"))
+        samples.select(codes(F.col("token")).alias("c"))
+        .select(F.inline(step))
         .where((F.col("a") > 0) & (F.col("b") > 0))
-        .select("label", (pair - size - 1).alias("pair"))
-        .groupBy("label", "pair")
+        .groupBy("a", "b")
         .count()
-        .collect()  # twice the table's size at most
+        .collect()  # the table's size at most
     )
-    table = [[1.0] * (size * size) for _ in range(2)]
-    for label, k, n in counts:
-        table[label][k] += n
-    rows = [[sum(t[a * size : (a + 1) * size]) for a in range(size)] for t in table]
+    return {(ALPHABET[a - 1], ALPHABET[b - 1]): float(n) for a, b, n in counts}
+
+
+def plain_words(docs: DataFrame) -> DataFrame:
+    """``(w, n)``: the words of two ASCII letters or more and how often they occur, without the marks around them."""
+    bare = F.regexp_replace("raw", r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    each = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("raw")).groupBy("raw").count()
+    return each.select(bare.alias("w"), F.col("count").alias("n")).where(F.col("w").rlike(r"^[A-Za-z]{2,}$"))
+
+
+def identifier_transitions(docs: DataFrame) -> dict[tuple[str, str], float]:
+    """``transitions`` of the names made of ``plain_words``: w, w_w, W_W, wW<n % 100> and w/w-<n % 100>."""
+    found = stash(plain_words(docs), "words")
+    at = F.sequence(F.lit(1), F.length("w") - 1)
+    pairs = found.select(F.explode(F.transform(at, lambda i: F.struct(F.col("w").substr(i, F.lit(2)).alias("p"), (i == 1).alias("head")))), "n")
+    # each of these tables has a fixed size
+    pairs = pairs.groupBy("col.p", "col.head").agg(F.sum("n")).collect()
+    head, tail = F.substring("w", 1, 1).alias("head"), F.substring("w", -1, 1).alias("tail")
+    ends = found.groupBy(head, tail).agg(F.sum("n")).collect()
+    numbers = found.groupBy(tail, (F.col("n") % 100).cast("string").alias("number")).agg(F.sum("n")).collect()
+    out: dict[tuple[str, str], float] = {}
+
+    def add(a: str, b: str, n: float) -> None:
+        out[a, b] = out.get((a, b), 0.0) + n
+
+    for (x, y), first, n in pairs:
+        add(x, y, 5 * n)  # w, w_w, w/w
+        add(x.upper(), y.upper(), 2 * n)
+        add(x.lower(), y.lower(), n)
+        add(x.upper() if first else x.lower(), y.lower(), n)
+    for a, z, n in ends:
+        for joint in "_/":
+            add(z, joint, n)
+            add(joint, a, n)
+        add(z.upper(), "_", n)
+        add("_", a.upper(), n)
+        add(z.lower(), a.upper(), n)
+        add(z, "-", n)
+    for z, number, n in numbers:
+        add(z.lower(), number[0], n)
+        add("-", number[0], n)
+        if len(number) > 1:
+            add(number[0], number[1], 2 * n)
+    return out
+
+
+def log_ratios(random: dict[tuple[str, str], float], ordinary: dict[tuple[str, str], float]) -> list[float]:
+    """Ratios of all transitions, row by row of the table."""
+    size = len(ALPHABET)
+    most = sum(random.values())
+    scale = min(1.0, most / max(1.0, sum(ordinary.values())))
+    tables = [[1.0 + part * t.get((a, b), 0.0) for a in ALPHABET for b in ALPHABET] for t, part in ((ordinary, scale), (random, 1.0))]
+    rows = [[sum(t[a * size : (a + 1) * size]) for a in range(size)] for t in tables]
     return [
-        math.log(table[1][k] / rows[1][k // size]) - math.log(table[0][k] / rows[0][k // size]) for k in range(size * size)
+        math.log(tables[1][k] / rows[1][k // size]) - math.log(tables[0][k] / rows[0][k // size]) for k in range(size * size)
     ]
 
 
+def fit(docs: DataFrame) -> list[float]:
+    return log_ratios(transitions(random_samples(docs.sparkSession)), identifier_transitions(docs))
+
+
 def mean_ratio(token: Column, ratios: list[float]) -> Column:
     size = len(ALPHABET)
     table = F.split(F.lit(" ".join(f"{r:.6f}" for r in ratios)), " ").cast("array<double>")
@@ -164,8 +191,7 @@ def listed(spans: Column) -> Column:
 def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     """``(doc_id, base, spans)`` for each row of ``docs``: sorted arrays of (start, kind, end)."""
     if ratios is None:
-        spark = docs.sparkSession
-        ratios = fit(random_samples(spark).unionByName(identifier_samples(docs)))
+        ratios = fit(docs)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = text.withColumn("base", base_spans(F.col("text")))
     both = F.sort_array(F.concat("base", random_spans(F.col("text"), F.col("base"), ratios)))
