@@ -25,7 +25,9 @@ ROWS = [
 #: Names that operators use inside or return.
 CLASHES = (
     "n_words n_removed kept k1 k2 spans asked words m c lo fp root node u v size order range base severity p_toxic toxic "
-    "_s _id _row _dropped _times _size _k h1 h2 pos n_lines n_dropped position taken target ids media pixels kept_sha256 _text _w _lines key shard t i j"
+    "_s _id _row _dropped _times _size _k h1 h2 pos n_lines n_dropped position taken target ids media pixels kept_sha256 _text _w _lines key shard t i j "
+    "__id __row __dropped __times __grade __hash row grade copy copies host hash dropped row_hash _n _hash _block start quota first head fp.x severity.y "
+    "n_ids n_rows text_hash offsets n_tokens u.v"
 ).split()
 
 

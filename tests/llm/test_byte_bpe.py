@@ -25,7 +25,7 @@ def test_encoding_equals_the_library(texts):
     ends = np.cumsum(n).tolist()
     for t, a, z in zip(texts, [0, *ends], ends):
         assert ids[a:z].tolist() == LIBRARY.encode_ordinary(t)
-        assert CODER.decode(ids[a:z]) == t.encode()
+        assert CODER.decode(ids[a:z]).tobytes() == t.encode()
         assert CODER.offsets(ids[a:z])[-1] == len(t.encode())
 
 
@@ -54,6 +54,14 @@ def test_documents(spark, odd, clashing, empty):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted_rows(bb.encode(docs, PATH, False)) == brute([(r.doc_id, r.text) for r in docs.collect()])
     expected = brute([(r[0], r[1]) for r in ROWS])
-    assert sorted_rows(bb.encode(odd, PATH), "ids") == expected
-    assert sorted_rows(bb.encode(clashing, PATH), "ids") == expected
+    assert sorted_rows(bb.encode(odd, PATH), "ids", "offsets") == expected
+    assert sorted_rows(bb.encode(clashing, PATH), "ids", "offsets") == expected
     assert bb.encode(empty, PATH).collect() == []
+
+
+def test_offsets_find_each_token_in_the_text(odd):
+    for r in bb.encode(odd, PATH).collect():
+        ids, at = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.offsets, "<u4")
+        raw = CODER.decode(ids).tobytes()
+        cuts = [*at.tolist(), len(raw)]
+        assert [raw[a:z] for a, z in zip(cuts, cuts[1:])] == [CODER.decode(ids[k : k + 1]).tobytes() for k in range(len(ids))]

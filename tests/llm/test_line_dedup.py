@@ -71,3 +71,11 @@ def test_ids_at_the_ends_of_longs(spark):
     line = "a line that is long enough to count"
     rows = [(-(1 << 63), line), (0, line), ((1 << 63) - 1, line), ((1 << 63) - 2, line)]
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_one_far_id_does_not_spoil_the_batches(spark):
+    line = "a line that is long enough to count"
+    rows = [(i, f"{line}\nand line number {i} of its own kind") for i in range(200)] + [((1 << 62), line), (-(1 << 62), line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in ld.dedup_lines(docs).collect()}
+    assert got == {i: int(i != 1 << 62) for i, _ in rows}

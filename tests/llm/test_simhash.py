@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from veilwork.llm import simhash as sh
@@ -83,3 +84,22 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(5, a), (3, a), (3, b), (3, b), (None, b), (None, c), (None, c), (7, None), (2, ""), (None, " ")]
     got = sorted_rows(sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == sorted([(3, a), (3, b), (3, b), (None, c), (None, c), (2, "")], key=repr)
+
+
+def test_a_hub_with_many_links(spark):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(10_000 - i, " ".join([*base[:k], f"x{i}", *base[k:]])) for i, k in enumerate(range(0, 400, 4))]
+    rows += [(i, rows[0][1]) for i in range(20_000, 20_400)] + [(None, "alone and without an id")]
+    got = sorted_rows(sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)))
+    assert got == brute(rows)
+
+
+def test_components_that_do_not_end_are_an_error(spark, monkeypatch):
+    from veilwork.llm import components as co
+
+    monkeypatch.setattr(co, "MAX_ROUNDS", 1)
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        co.components(path)
+    monkeypatch.setattr(co, "MAX_ROUNDS", 60)
+    assert {(r.node, r.root) for r in co.components(path).collect()} == {(i, 0) for i in range(1, 41)}

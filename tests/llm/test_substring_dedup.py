@@ -85,3 +85,16 @@ def test_sequence_hashes_tell_sequences_apart():
     h[30:55] = h[:25]
     got = sd.sequence_hashes(h, 20)
     assert (got[:6] == got[30:36]).all() and len(set(got[:41].tolist())) == 41 - 6
+
+
+def test_a_thousand_equal_rows(spark):
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    a, b = (" ".join(rnd.choices(words, k=120)) for _ in range(2))
+    rows = [(1, a), *[(5, b + " " + a)] * 1000, *[(None, a)] * 3, (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = sd.remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 120, 0, 1), (5, 240, 120, 1000), (7, 120, 120, 1), (None, 120, 120, 3)], key=repr)
+    one = docs.where("doc_id <> 5").union(docs.where("doc_id = 5").limit(1))
+    spans = lambda d: sd.repeats(d)[1].distinct().count()
+    assert sd.repeats(docs)[1].count() <= 4 * spans(one)

@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 
 from veilwork.llm import toxicity as tx
@@ -38,3 +41,32 @@ def test_odd_rows(spark, odd, clashing, empty):
     assert tx.grade_documents(odd, none).where("toxic or severity > 0").count() == 0
     assert tx.without_toxic(clashing, none).columns == clashing.columns
     assert sorted_rows(tx.without_toxic(clashing, none)) == sorted_rows(clashing)
+
+
+def test_texts_without_words_have_no_grade(spark):
+    rows = [(i, "vile horrid words here" if i % 2 else "kind mild words there") for i in range(200)]
+    blank = [(300, "\n"), (301, " \u00a0 "), (302, None), (303, "")]
+    docs = spark.createDataFrame(rows + blank, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(300, 1)], "doc_id long, toxic int")
+    got = tx.grade_documents(docs, labels).collect()
+    assert all(r.severity == 0 and not r.toxic for r in got if r.doc_id >= 300)
+    assert all(r.toxic == bool(r.doc_id % 2) for r in got if r.doc_id < 300)
+
+
+def test_scores_equal_a_plain_computation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    weights, theta = tx.fit(docs, labels)
+    assert (np.diff(theta) > 0).all() and np.count_nonzero(weights)
+    for r in tx.grade_documents(docs, labels).collect():
+        words = (r.text or "").lower().split()
+        total = 0.0
+        for w in sorted(set(words)):
+            bare = w.strip(tx.EDGES)
+            if len(bare) >= 2:
+                marks = {zlib.crc32(x.encode()) % tx.DIM for x in ("=" + bare, bare[:4], bare[:5], bare[:6])}
+                total += (1 + math.log(words.count(w))) * sum(float(weights[m]) for m in marks)
+        eta = total * 10 / math.sqrt(len(words) + tx.SMOOTH)
+        above = [1 / (1 + math.exp(c - eta)) for c in theta] if words else [0.0] * len(theta)
+        assert abs(r.severity - sum(above)) < 1e-6 and abs(r.p_toxic - above[0]) < 1e-6
+        assert r.toxic == (r.p_toxic >= 0.5)

@@ -18,6 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import zlib
@@ -42,6 +43,7 @@ CACHE_PIECES = 600_000
 LONG_PIECE = 64
 
 
+@functools.cache
 def class_table() -> bytes:
     """The class of each code point as the ``tiktoken`` library's own engine sees it, compressed."""
     import tiktoken
@@ -289,10 +291,12 @@ class ByteBpe:
         self.table = np.frombuffer(zlib.decompress(classes), dtype=np.uint8)
         ranks = load_ranks(path)
         self.merger = Merger(ranks)
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        bytes_of = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
-            self.bytes_of[r] = t
-        self.width = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+            bytes_of[r] = t
+        self.width = np.array([len(t) for t in bytes_of], dtype=np.int64)
+        self.start = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.numbers: dict[str, int] = {}
         self.store = PieceStore()
 
@@ -316,8 +320,10 @@ class ByteBpe:
         """Byte offsets of each id's start, and the end: what maps a place in the decoded bytes to an id."""
         return np.concatenate([[0], np.cumsum(self.width[ids])])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+        """The bytes of the ids, each written at its offset."""
+        offsets = self.offsets(ids) if offsets is None else offsets
+        return self.bytes[np.repeat(self.start[ids] - offsets[:-1], self.width[ids]) + np.arange(int(offsets[-1]))]
 
 
 _CODERS: dict[str, ByteBpe] = {}
@@ -330,9 +336,10 @@ def coder(path: str, classes: bytes) -> ByteBpe:
 
 
 def encode(docs: DataFrame, ranks: str, with_ids: bool = True) -> DataFrame:
-    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` for each row of ``docs``; ids as little-endian 32-bit integers.
+    """``(doc_id, ids, offsets, n_tokens, ids_sha256, decoded_sha256)`` for each row of ``docs``; ids as little-endian
+    32-bit integers, and so the offset of each id's first byte in the decoded text.
 
-    ``ranks``: path of the rank file, which every executor has. ``with_ids`` off leaves the ids out.
+    ``ranks``: path of the rank file, which every executor has. ``with_ids`` off leaves ids and offsets out.
     """
     classes = class_table()
 
@@ -341,12 +348,16 @@ def encode(docs: DataFrame, ranks: str, with_ids: bool = True) -> DataFrame:
         raw = ids.astype("<u4").data.cast("B")
         ends = np.cumsum(n).tolist()
         cuts = list(zip([0, *ends], ends))
+        offsets = bpe.offsets(ids)
+        decoded, at = bpe.decode(ids, offsets).data, offsets[np.concatenate([[0], np.cumsum(n)]).astype(np.int64)]
         out = {"doc_id": keys}
         if with_ids:
+            inner = (offsets[:-1] - np.repeat(at[:-1], n)).astype("<u4").data.cast("B")
             out["ids"] = [bytes(raw[4 * a : 4 * z]) for a, z in cuts]
+            out["offsets"] = [bytes(inner[4 * a : 4 * z]) for a, z in cuts]
         out["n_tokens"] = n
         out["ids_sha256"] = [hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in cuts]
-        out["decoded_sha256"] = [hashlib.sha256(bpe.decode(ids[a:z])).hexdigest() for a, z in cuts]
+        out["decoded_sha256"] = [hashlib.sha256(decoded[a:z]).hexdigest() for a, z in zip(at.tolist(), at[1:].tolist())]
         return pd.DataFrame(out)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,7 +367,7 @@ def encode(docs: DataFrame, ranks: str, with_ids: bool = True) -> DataFrame:
             for part in blocks(texts):
                 yield some(b["doc_id"].iloc[part].reset_index(drop=True), texts[part], bpe)
 
-    schema = "doc_id long, " + "ids binary, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, " + "ids binary, offsets binary, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, schema)
 
 

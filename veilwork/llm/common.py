@@ -19,13 +19,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made here where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, in a local session only, one made here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilwork-"))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
@@ -46,7 +48,34 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     path = shared_path(spark, name)
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def forget(*stashed: DataFrame) -> None:
+    """Delete tables of ``stash`` that nothing reads any more."""
+    for df in stashed:
+        remove(df.sparkSession, df.stash_path)
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` as one struct column ``row``, so that no name of it clashes with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"row.`{c}`").alias(c) for c in columns]
+
+
+def repeated(df: DataFrame, times: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``name``; in two steps, so that no array is long."""
+    low = F.col("_block") * F.lit(block)
+    return (
+        df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / F.lit(block)).cast("long"))))
+        .withColumn(name, F.explode(F.sequence(low, F.least(low + F.lit(block), F.col(times)) - 1)))
+        .drop("_block")
+    )
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -78,13 +107,13 @@ def text_or_empty(df: DataFrame) -> Column:
 HOT = 1000
 
 
-def found_in(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+def found_in(rows: DataFrame, table: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``table`` (inner), which has each ``key`` once with the number of its rows in ``count``.
 
     Hot keys, at most ``HOT`` as each has more than its part of all rows, are broadcast; the rest meet in a shuffle
     in which no key has many rows. Both tables are read twice, so they should be stored ones.
     """
-    most = (table.agg(F.sum(count)).first()[0] or 0) // HOT
+    most = (table.agg(F.sum(count)).first()[0] or 0 if total is None else total) // HOT
     hot = F.broadcast(table.where(F.col(count) > most).drop(count))
     cold = table.where(F.col(count) <= most).drop(count)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

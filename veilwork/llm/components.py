@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import forget, found_in, stash
 
+#: Rounds grow with the logarithm of the longest path; more than this many can't be.
 MAX_ROUNDS = 60
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "star-centres")
+    return found_in(both.where(F.col("v") > F.col("u")), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = stash(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star-centres")
+    moved = found_in(down, low, "u", "n").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return low.select("u", F.col("m").alias("v")).unionByName(moved)
 
 
@@ -38,9 +39,14 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        e = stash(_small_star(_large_star(e).where(F.col("u") != F.col("v")).distinct()).distinct(), "links")
+        large = stash(_large_star(e).where(F.col("u") != F.col("v")).distinct(), "links")
+        forget(e)
+        e = stash(_small_star(large).distinct(), "links")
+        forget(large)
         after = _mark(e)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not found in {MAX_ROUNDS} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stash, strip_ws
+from .common import ascii_lower, forget, packed, stash, strip_ws, unpacked
 
 MIN_KEY_CHARS = 20
 MIN_DOCS = 3
@@ -78,8 +78,9 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(stash(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}"))
         if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self.merged(self.levels[level]), []
-            self._put(level + 1, merged)
+            old, self.levels[level] = self.levels[level], []
+            self._put(level + 1, self.merged(old))
+            forget(*old)
 
     @staticmethod
     def merged(runs: list[DataFrame]) -> DataFrame:
@@ -107,21 +108,10 @@ def dropped_lines(
     fanout: int = FANOUT,
 ) -> DataFrame:
     """``(doc_id, row_hash, dropped)``: positions of the lines that go, for each document that loses any."""
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = (lo, hi) if lo is not None else (0, 0)
-    width = max(1, -(-(hi - lo + 1) // batches))
-    hashes = stash(
-        line_hashes(docs, min_key_chars).withColumn(
-            # in doubles: ids may be as far apart as longs can be
-            "batch",
-            F.least(
-                F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(width))).cast("int"),
-                F.lit(batches - 1),
-            ),
-        ),
-        "line-hashes",
-        ["batch"],
-    )
+    # batches of about equally many documents, however their ids lie
+    (cuts,) = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()
+    batch = sum(((F.col("doc_id") > F.lit(c)).cast("int") for c in cuts or []), F.lit(0))
+    hashes = stash(line_hashes(docs, min_key_chars).withColumn("batch", batch), "line-hashes", ["batch"])
     store = LineRuns(fanout)
     for b in reversed(range(batches)):
         store.add(hashes.where(F.col("batch") == b))
@@ -131,25 +121,25 @@ def dropped_lines(
     return hits.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
+def cut_lines(docs: DataFrame, **limits) -> DataFrame:
+    """``(row, text, n_lines, n_dropped)``: the rows of ``docs`` as structs, and their texts cut to the lines that stay."""
+    gone = dropped_lines(docs.select("doc_id", "text"), **limits)
+    text = F.coalesce("row.text", F.lit(""))
+    wide = packed(docs).join(gone, (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64("row.text") == F.col("row_hash")), "left")
+    stay = F.array_join(kept_lines(F.split(text, "\n", -1), F.col("dropped")), "\n")
+    return wide.select(
+        "row",
+        F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(stay).alias("text"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
+
+
 def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with ``text`` cut to the lines that stay, and ``n_lines``, ``n_dropped``.
 
     Columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    gone = dropped_lines(docs.select("doc_id", "text"), **limits).select(
-        F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("dropped").alias("__dropped")
-    )
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n", -1)
-    wide = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__row"]), "left")
-    return (
-        wide.withColumn("n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
-        .withColumn(
-            "text",
-            F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(
-                F.array_join(kept_lines(lines, F.col("__dropped")), "\n")
-            ),
-        )
-        .drop("__id", "__row", "__dropped")
-    )
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    values = [F.col("text") if c == "text" else v for c, v in zip(kept, unpacked(kept))]
+    return cut_lines(docs, **limits).select(*values, "n_lines", "n_dropped")

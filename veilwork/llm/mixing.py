@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions.arrays import let
 
-from .common import found_in, running_base, stash, word_count
+from .common import found_in, packed, repeated, running_base, stash, unpacked, word_count
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
@@ -164,10 +164,6 @@ def passes(start: Column, schedules=SCHEDULES) -> Column:
     )
 
 
-def copies_of(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken, position, passes)`` for each row of ``docs``.
 
@@ -175,7 +171,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedule
     ``position`` is the training word at which it is first met (null if never);
     ``passes`` has a (pass, words, position) for each time it is met.
     """
-    each = copies_of(placed(sized(docs), weights=weights, max_epochs=max_epochs, schedules=schedules))
+    groups = placed(sized(docs), weights=weights, max_epochs=max_epochs, schedules=schedules)
+    each = repeated(groups, "copies", "copy")
     start = F.col("start") + F.col("copy") * F.col("size")
     return each.withColumn("passes", passes(start, schedules)).select(
         "doc_id",
@@ -208,13 +205,12 @@ def mixed_documents(docs: DataFrame, schedules=SCHEDULES, **how) -> DataFrame:
     A last pass that the target cuts, one document of each source, is kept if at least half of it is taken.
     Rows that agree in id, source and text but not in other columns are told apart by a hash of all their columns.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = stash(docs.select(F.monotonically_increasing_id().alias("_n"), row), "mix-rows")
+    rows = stash(packed(docs, F.monotonically_increasing_id().alias("_n")), "mix-rows")
     field = lambda f: F.col(f"row.`{f.name}`")
     plain = [F.map_entries(field(f)) if f.dataType.typeName() == "map" else field(f) for f in docs.schema]
     own = rows.select("_n", "row.doc_id", "row.source", "row.text", F.xxhash64(*plain).alias("_hash"))
-    at = copies_of(placed(sized(own, "_hash", _n=F.min("_n")), "_hash", schedules=schedules, **how))
+    at = repeated(placed(sized(own, "_hash", _n=F.min("_n")), "_hash", schedules=schedules, **how), "copies", "copy")
     start = F.col("start") + F.col("copy") * F.col("size")
     met = at.select("_n", "copy", "size", F.explode(passes(start, schedules)).alias("p")).where(2 * F.col("p.words") >= F.col("size"))
     met = stash(met.select("_n", "copy", F.col("p.pass").alias("pass"), F.col("p.position").alias("position")), "mix-passes")
-    return rows.join(met, "_n").orderBy("position", "_n", "copy", "pass").select("row.*")
+    return rows.join(met, "_n").orderBy("position", "_n", "copy", "pass").select(*unpacked(docs.columns))

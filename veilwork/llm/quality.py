@@ -2,10 +2,9 @@
 
 Lines are normalised (stripped, runs of white space made one space, A-Z lowered) and
 hashed to 128 bits together with their host (``source``). A line that more than
-``max_docs`` different documents of one host and more than ``max_share`` of them hold is
-removed there, so the rule acts alike on hosts of every size; a document that keeps
-less than ``min_left`` of its words is depleted and rejected. Documents are different if
-their texts are, so copies of a document don't condemn its lines.
+``max_docs`` different documents of one host hold is removed there, whatever the host's
+size; a document that keeps less than ``min_left`` of its words is depleted and rejected.
+Documents are different if their texts are, so copies of a document don't condemn its lines.
 
 Base rules use the document alone: too few words, or too many of them in repeated
 three-word windows. Windows are compared by 64-bit hashes inside one text.
@@ -27,9 +26,8 @@ from .line_dedup import kept_lines
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line in more documents of one host than this, and in more than this share of them, is removed there.
+#: A line in more documents of one host than this is removed there.
 MAX_DOCS = 20
-MAX_SHARE = 0.01
 #: Share of its words that a document must keep.
 MIN_LEFT = 0.5
 SYMBOLS = r"[#*$%&|<>]"
@@ -79,7 +77,7 @@ def repeat_words(all_words: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row: ``_row``, doc_id, text hash, host, base counts, and its lines as ``(pos, h1, h2, n)``."""
+    """Per row: ``_row``, doc_id, text hash, base counts, and its lines as ``(pos, h1, h2, n)``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     host = [F.col("source").isNull(), F.coalesce(F.col("source"), F.lit(""))]
     parts = docs.select("doc_id", "source", text.alias("text"))
@@ -103,7 +101,6 @@ def measured(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("_row"),
         "doc_id",
         F.xxhash64("text").alias("_text"),
-        F.xxhash64(*host).alias("_host"),
         F.length(F.regexp_replace("text", f"[{WS}]+", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(with_word, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
@@ -113,7 +110,6 @@ def measured(docs: DataFrame) -> DataFrame:
         "_row",
         "doc_id",
         "_text",
-        "_host",
         F.col("_w.n").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -123,32 +119,26 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``(h1, h2)`` of the lines above their host's limits, counted over different texts."""
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``(h1, h2)`` of the lines above their host's limit, counted over different texts."""
     line = F.inline(F.transform("_lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))
-    often = (
-        rows.select("_text", "_host", line)
-        .groupBy("h1", "h2")
-        .agg(F.countDistinct("_text").alias("n_docs"), F.min("_host").alias("_host"))
-        .where(F.col("n_docs") > max_docs)
-    )
-    hosts = rows.groupBy("_host").agg(F.countDistinct("_text").alias("n_host"))
-    return often.join(hosts, "_host").where(F.col("n_docs") > max_share * F.col("n_host")).select("h1", "h2")
+    often = rows.select("_text", line).groupBy("h1", "h2").agg(F.countDistinct("_text").alias("n_docs"))
+    return often.where(F.col("n_docs") > max_docs).select("h1", "h2")
 
 
-def rate(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def rate(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """A row per row of ``docs``: doc_id, the counts, ``n_line_words_removed``, ``dropped`` (0-based
     positions of the removed lines, null if none), ``base_failed`` and ``kept``."""
     rows = stash(measured(docs), "quality-rows")
     lines = rows.select("_row", F.inline("_lines"))
     removed = (
-        lines.join(stash(frequent_lines(rows, max_docs, max_share), "frequent-lines"), ["h1", "h2"])
+        lines.join(stash(frequent_lines(rows, max_docs), "frequent-lines"), ["h1", "h2"])
         .groupBy("_row")
         .agg(F.sum("n").alias("gone"), F.sort_array(F.collect_list("pos")).alias("dropped"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
-        rows.drop("_lines", "_host")
+        rows.drop("_lines")
         .join(removed, "_row", "left")
         .withColumn("n_line_words_removed", F.coalesce("gone", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import found_in, packed, stash, unpacked
 from .components import components
 
 SHINGLE = 4
@@ -165,14 +165,18 @@ def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
         "prints",
     )
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    prints = marked.groupBy("fp").agg(F.min(name).alias("first"))
+    prints = stash(marked.groupBy("fp").agg(F.min(name).alias("first"), F.count("*").alias("n_rows")), "distinct-prints")
     roots = components(links(prints.select("fp"), radius))
-    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+    # a fingerprint without links is its own component and needs no join by root
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = stash(members.join(prints, members["node"] == prints["fp"]).select("fp", "root", "first"), "linked-prints")
+    heads = stash(members.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("n")), "component-heads")
+    headed = found_in(members, heads, "root", "n").select(F.col("fp").alias("node"), "head")
+    of_print = prints.join(headed, prints["fp"] == headed["node"], "left").select(
+        "fp", "n_rows", F.coalesce("head", "first").alias("head")
     )
-    smallest = placed.groupBy("root").agg(F.min("first").alias("head"))
-    of_print = stash(placed.join(smallest, "root").select("fp", "head"), "print-components")
-    return marked.join(of_print, "fp").select("doc_id", "text_hash", "fp", "head")
+    of_print = stash(of_print, "print-components")
+    return found_in(marked, of_print, "fp", "n_rows").select("doc_id", "text_hash", "fp", "head")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -190,8 +194,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     gone = (
         grouped(docs, radius, shingle)
         .where(~same)
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+        .select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
         .distinct()
     )
-    on = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"])
-    return docs.join(gone, on, "left_anti").select(*docs.columns)
+    on = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash"))
+    return packed(docs).join(gone, on, "left_anti").select(*unpacked(docs.columns))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, stash
+from .common import blocks, repeated, stash
 
 WINDOW = 20
 ANCHOR = 5
@@ -180,6 +180,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """One row for equal rows of ``keyed``, with their number and how many of them have an id."""
+    same = [F.max("doc_id").alias("doc_id"), F.first("text").alias("text")]
+    return rows.groupBy("k1", "k2").agg(*same, F.count("doc_id").alias("n_ids"), F.count("*").alias("n_rows"))
+
+
 def row_frame(kind, m, c, k1, k2, lo, n, inner) -> pd.DataFrame:
     count = len(lo)
     return pd.DataFrame(
@@ -211,12 +217,13 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def gone_rows(rows: dict[str, np.ndarray], first: np.ndarray) -> pd.DataFrame:
-    """All rows but the first of each key, unless they are the same place of the same document."""
+    """All rows but the first of each key, unless they are the same place of the same document as it or the row before."""
     head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    same = np.ones(len(first), dtype=bool)
+    same, again = np.ones(len(first), dtype=bool), ~first
     for k in ("k1", "k2", "lo"):
         same &= rows[k] == rows[k][head]
-    out = {k: v[~same] for k, v in rows.items()}
+        again[1:] &= rows[k][1:] == rows[k][:-1]
+    out = {k: v[~same & ~again] for k, v in rows.items()}
     out["m"] = mixed(out["k2"].view(np.uint64) + out["lo"].astype(np.uint64))  # spreads them
     return row_frame(GONE, **out)
 
@@ -407,7 +414,7 @@ def content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with keys, and ``(k1, k2, span)``: starts of repeated windows by document, packed."""
+    """The different rows of ``docs`` with keys, and ``(k1, k2, span)``: starts of repeated windows by document, packed."""
     rows = keyed(docs)
     found = rows.select("k1", "k2", "text").mapInPandas(segment_rows, SEGMENT_ROW)
     order = ["m", "c", "k1", "k2", "lo"]
@@ -422,6 +429,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("lo", "n", "m", F.coalesce("deep", F.lit(False)).alias("deep"))).alias("asked"))
     )
+    rows = distinct_rows(rows)
     content = rows.join(asked, ["k1", "k2"]).mapInPandas(content_rows, CONTENT_ROW)
     leaves = content.repartition("key").sortWithinPartitions("key", "k1", "k2", "lo").mapInPandas(subtrees, "k1 long, k2 long, span long")
     return rows, gone.unionByName(leaves)
@@ -449,15 +457,18 @@ def kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n_removed.append(int(gone.sum()))
                 words = [words[i] for i in np.flatnonzero(~gone).tolist()]
             kept.append(b" ".join(words).decode())
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept": kept})
+        own = {k: b[k] for k in ("doc_id", "n_ids", "n_rows")}
+        yield pd.DataFrame(own | {"n_words": n_words, "n_removed": n_removed, "kept": kept})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for each row of ``docs``; ``kept``: the words that stay, joined by one space."""
     rows, spans = repeats(docs)
-    by_doc = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
-    return (
+    by_doc = spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    kept = (
         rows.join(by_doc, ["k1", "k2"], "left")
-        .select("doc_id", "text", "spans")
-        .mapInPandas(kept_rows, "doc_id long, n_words long, n_removed long, kept string")
+        .select("doc_id", "n_ids", "n_rows", "text", "spans")
+        .mapInPandas(kept_rows, "doc_id long, n_ids long, n_rows long, n_words long, n_removed long, kept string")
     )
+    own = F.when(F.col("copy") < F.col("n_ids"), F.col("doc_id")).alias("doc_id")
+    return repeated(kept, "n_rows", "copy").select(own, "n_words", "n_removed", "kept")

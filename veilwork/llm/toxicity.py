@@ -10,14 +10,17 @@ The output is the expected grade and P(grade > 0).
 Labels say only toxic or not, so the grades above 0 come from a first fit with two
 grades: toxic documents of the sample are cut into thirds by their evidence.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled documents, those with the
-smallest hash of doc_id, in one task; features are screened by the difference of their
-document frequencies. Every document is scored, on all of its words.
-
-Defined cases: null and empty texts have grade 0 and are not toxic; labels that are
-null or have no document are left out, of several labels of a document the largest
-counts; without both kinds of label there is no evidence and all grades are 0. Equal
-rows score alike.
+The model is fitted on at most ``SAMPLE_ROWS`` labelled documents of at most
+``SAMPLE_CHARS`` characters each, those with the smallest hash of doc_id. Their features
+are taken where the documents are; only those meet in the one task that fits. Features are
+screened by the difference of their document frequencies. Every document is scored, on all
+of its words.
+
+Defined cases: texts without a word (null, empty, white space) have grade 0 and are not
+toxic; labels that are null or have no document are left out, of several labels of a
+document the largest counts, of several texts of a labelled id the one with the smallest
+hash is learned from; without both kinds of label there is no evidence and all grades are
+0. Equal rows score alike.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash
+from .common import first_by_hash, packed, unpacked
 
 SAMPLE_ROWS = 6000
+SAMPLE_CHARS = 100_000
 DIM = 1 << 18
 SMOOTH = 50
 GRADES = 4
@@ -111,13 +115,12 @@ class Ordinal:
         return self
 
 
-def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights over ``DIM`` features and the thresholds; no thresholds if the labels don't tell."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights over ``DIM`` features and the thresholds from ``document_features``; no thresholds if the labels don't tell."""
     weights = np.zeros(DIM, dtype=np.float32)
     n, n1 = len(toxic), int(toxic.sum())
     if n1 < 2 or n - n1 < 2:
         return weights, np.zeros(0)
-    rows = [document_features(t) for t in texts]
     row = np.repeat(np.arange(n), [len(i) for i, _ in rows])
     col = np.concatenate([i for i, _ in rows])
     val = np.concatenate([v for _, v in rows])
@@ -142,22 +145,34 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return weights, model.theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS
+) -> tuple[np.ndarray, np.ndarray]:
     """Fit on a bounded sample of the labelled documents; the model (``DIM`` numbers) comes to the driver."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     each = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = first_by_hash(each, "doc_id", sample_rows, usable.count())
-    # sample_rows bounds what is broadcast
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # sample_rows bounds what is broadcast; a null text has no length
+    texts = docs.select("doc_id", "text").where(F.length("text") <= sample_chars)
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+    sample = sample.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [document_features(t) for t in b["text"]]
+            idx, val = [i.astype("<i4").tobytes() for i, _ in got], [v.astype("<f4").tobytes() for _, v in got]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "idx": idx, "val": val})
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
-            b = pd.concat(parts).sort_values(["doc_id", "text"])
-            w, theta = train(b["text"].tolist(), (b["toxic"].to_numpy() > 0).astype(int))
+            b = pd.concat(parts).sort_values("doc_id")
+            rows = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in zip(b["idx"], b["val"])]
+            w, theta = train(rows, (b["toxic"].to_numpy() > 0).astype(int))
             yield pd.DataFrame({"w": [w.astype("<f4").tobytes()], "theta": [theta.tolist()]})
 
-    got = sample.select("doc_id", "text", "toxic").repartition(1).mapInPandas(one, "w binary, theta array<double>").first()
+    features_of = sample.mapInPandas(featured, "doc_id long, toxic int, idx binary, val binary")
+    got = features_of.repartition(1).mapInPandas(one, "w binary, theta array<double>").first()
     if got is None:
         return np.zeros(DIM, dtype=np.float32), np.zeros(0)
     return np.frombuffer(got["w"], "<f4"), np.array(got["theta"])
@@ -177,6 +192,8 @@ class Scorer(dict):
 
     def eta(self, text: str) -> float:
         words = text.lower().split()
+        if not words:
+            return -math.inf
         total = sum(s * damped(n) for w, n in Counter(words).items() if (s := self[w]))
         return total * 10.0 / math.sqrt(len(words) + SMOOTH)
 
@@ -191,32 +208,25 @@ def severity(text: Column, weights: np.ndarray, theta: np.ndarray) -> Column:
         for texts in batches:
             eta = np.fromiter(map(scorer.eta, texts.tolist()), float, len(texts))
             above = 1 / (1 + np.exp(np.clip(cuts[None, :] - eta[:, None], -500, 500)))
+            above[np.isneginf(eta)] = 0
             first = above[:, 0] if len(cuts) else np.zeros(len(texts))
             yield pd.DataFrame({"severity": above.sum(axis=1), "p_toxic": first})
 
     return score(F.coalesce(text, F.lit("")))
 
 
-def graded(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with ``__grade``: a struct of ``severity`` and ``p_toxic``."""
-    weights, theta = fit(docs, labels, sample_rows)
-    blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
-    none = F.struct(F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"))
-    scored = docs.withColumn("__grade", severity(F.col("text"), weights, theta))
-    return scored.withColumn("__grade", F.when(blank, none).otherwise(F.col("__grade")))
+def graded(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
+    """``(row, grade)``: the rows of ``docs``, each with a struct of ``severity`` and ``p_toxic``."""
+    return packed(docs, severity(F.col("text"), *fit(docs, labels, **sample)).alias("grade"))
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def grade_documents(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     """``docs`` with ``severity``, ``p_toxic`` and ``toxic``; columns of these names are replaced."""
-    return (
-        graded(docs, labels, sample_rows)
-        .withColumn("severity", F.col("__grade.severity"))
-        .withColumn("p_toxic", F.col("__grade.p_toxic"))
-        .withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
-        .drop("__grade")
-    )
+    kept = [c for c in docs.columns if c not in ("severity", "p_toxic", "toxic")]
+    toxic = (F.col("grade.p_toxic") >= TOXIC_FROM).alias("toxic")
+    return graded(docs, labels, **sample).select(*unpacked(kept), "grade.severity", "grade.p_toxic", toxic)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     """The documents that aren't toxic, their columns as they were."""
-    return graded(docs, labels, sample_rows).where(F.col("__grade.p_toxic") < TOXIC_FROM).drop("__grade")
+    return graded(docs, labels, **sample).where(F.col("grade.p_toxic") < TOXIC_FROM).select(*unpacked(docs.columns))
