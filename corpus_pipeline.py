@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
-from veilwork.llm.common import documents, stash
+from veilwork.llm.common import documents, stash, unpacked
 from veilwork.llm.queries import tokenizer_file
 
 
@@ -24,10 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more share stay in the last of them only; no document goes."""
-    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
-    size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    own = {"text": F.col("text"), "n_chars": size}
-    return kept.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    own = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return line_dedup.cut_lines(docs).select(*[own.get(c, v) for c, v in zip(docs.columns, unpacked(docs.columns))])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
