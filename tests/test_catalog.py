@@ -6,7 +6,6 @@ from veilwork.plans import catalog
 from .oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"detect_all_counts", "preset_ferpa_counts", "pages_counts", "all_hits", "mask_mixed_cover"}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +13,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, con, name):
     compare(catalog.queries()[name](spark, SF), catalog.oracle_sql()[name], con)
 

@@ -123,7 +123,7 @@ def test_manifest(spark):
 def test_presets(spark, tmp_path):
     at = str(tmp_path / "p")
     assert presets.saved_presets(spark, at).count() == 0
-    assert presets.save_preset(at, "a/b ", ["ssn"]).name == "ab.json"
+    assert presets.save_preset(at, "a/b ", ["ssn"]).endswith("/ab.json")
     presets.save_preset(at, "HIPAA Only", ["emails"])
     for name, text in (("x.json", "[1]"), ("y.json", '{"name": "n"}'), ("z.json", "{")):
         (tmp_path / "p" / name).write_text(text)
@@ -197,3 +197,48 @@ def test_texts(spark):
     assert api.summarise_texts(spark, ["80202 a@b.co", None]) == [{"addresses": 1, "emails": 1}, {}]
     (found, none) = api.detect_texts(spark, ["x 80202", ""])
     assert found == [{"start": 2, "end": 7, "text": "80202", "category": "addresses"}] and none == []
+
+
+def test_explicit_outputs(spark, folder):
+    row = redact.redact_file(spark, f"{folder}/a.docx", out_path=f"{folder}/deep/own name.docx")
+    assert row.error is None and row.outputs == [f"{folder}/deep/own name.docx"]
+    assert (folder / "deep/own name.docx").exists()
+    same = redact.redact_file(spark, f"{folder}/a.docx", out_path=f"file:{folder}/a.docx")
+    assert same.error == "Output path equals the source" and same.outputs == []
+    assert redact.redact_file(spark, f"{folder}/d.TXT").error == "Unsupported file type: .txt"
+    some = redact.redact_files(spark, str(folder), out_dir=f"{folder}/o", out_path={"/a.docx": f"{folder}/o/first.docx"})
+    assert {r.file_id.rsplit("/", 1)[1]: r.outputs for r in some}["a.docx"] == [f"{folder}/o/first.docx"]
+    assert (folder / "o/b_REDACTED.XLSX").exists()
+
+
+def test_images_of_masked_pages(monkeypatch):
+    from veilwork.sources import pdf
+
+    monkeypatch.setattr(pdf, "rendered", lambda raw, fmt: iter([b"one", b"two"]))
+    disk = {}
+    assert redact.write_one(disk.__setitem__, "/o/a.v2.pdf", b"%PDF", "JPG") == (list(disk), None)
+    assert disk == {"/o/a.v2.pdf": b"%PDF", "/o/a.v2_images/a.v2_p001.jpg": b"one", "/o/a.v2_images/a.v2_p002.jpg": b"two"}
+    assert redact.write_one(disk.__setitem__, "/o/a.docx", b"PK", "PNG") == (["/o/a.docx"], None)
+    assert redact.write_one(disk.__setitem__, "/o/b.pdf", b"%PDF") == (["/o/b.pdf"], None)
+
+    def broken(raw, fmt):
+        raise pdf.PdfUnavailable("no library")
+
+    monkeypatch.setattr(pdf, "rendered", broken)
+    done, error = redact.write_one(disk.__setitem__, "/o/c.pdf", b"%PDF", "PNG")
+    assert done == ["/o/c.pdf"] and "no library" in error
+
+
+def test_dropped_files(spark):
+    assert manifest.dropped_paths("{/a b/x.docx} /c/y.pdf  {/d/z.txt}\n/e.xlsx {/open end") == ["/a b/x.docx", "/c/y.pdf", "/d/z.txt", "/e.xlsx", "/open end"]
+    assert manifest.dropped_paths("  ") == []
+    frame = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    got = manifest.queued(frame("/a.docx"), frame(*manifest.dropped_paths("/a.docx {/b c.PDF} /d.txt")))
+    assert sorted(r.path for r in got.collect()) == ["/a.docx", "/b c.PDF"]
+    assert manifest.image_name("x.pdf", 12) == "x_images/x_p012.png"
+
+
+def test_numbered_rows(spark):
+    df = spark.createDataFrame([((37 * i) % 1000, str(i)) for i in range(1000)] + [(10**12, "far")], "k long, v string")
+    assert sorted((r.k, r.n) for r in tabular.numbered(df, "k", "n", 8).collect()) == [(i, i + 1) for i in range(1000)] + [(10**12, 1001)]
+    assert tabular.numbered(df.limit(0), "k", "n").collect() == []

@@ -16,7 +16,7 @@ from veilwork.operators.presets import (
     save_preset,
     saved_presets,
 )
-from veilwork.operators.redact import extract_text, masked_files, redact_files, scan_files
+from veilwork.operators.redact import extract_text, masked_files, redact_file, redact_files, scan_files
 from veilwork.operators.tabular import mask_cells, mask_table
 
 
@@ -51,6 +51,7 @@ __all__ = [
     "mask_cells",
     "mask_table",
     "masked_files",
+    "redact_file",
     "redact_files",
     "save_preset",
     "saved_presets",

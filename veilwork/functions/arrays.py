@@ -49,6 +49,33 @@ def prefix_sums(array: Column) -> Column:
     return let(array, lambda a: F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(of(a)))
 
 
+def fold_emitting(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], element: str) -> Column:
+    """Folds an array from the left and gathers what the steps emit: ``struct<state, out>``.
+
+    ``step`` gives the next state and an array of what it emits, of type ``element``. Outputs are gathered in
+    blocks, so the cost is far from quadratic in their number.
+    """
+    none = F.array().cast(f"array<{element}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, put = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], put).alias("out"))
+
+    def of(a: Column) -> Column:
+        def block(acc: Column, k: Column) -> Column:
+            zero = F.struct(acc["state"].alias("state"), none.alias("out"))
+            inner = F.aggregate(F.slice(a, k * FOLD_BLOCK + 1, FOLD_BLOCK), zero, one)
+            joined = lambda i: F.struct(i["state"].alias("state"), F.concat(acc["out"], F.array(i["out"])).alias("out"))
+            return let(inner, joined)
+
+        steps = F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / F.lit(FOLD_BLOCK)), F.lit(0)).cast("int"))
+        zero = F.struct(start.alias("state"), F.array().cast(f"array<array<{element}>>").alias("out"))
+        flat = lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out"))
+        return F.aggregate(steps, zero, block, flat)
+
+    return let(items, of)
+
+
 def neighbours_equal(a: Column, key: Callable[[Column], Column]) -> Column:
     """Elements of a sorted array whose key another element has too."""
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import FOLD_BLOCK, let
+from .arrays import FOLD_BLOCK, fold_emitting, let
 from .names import DEFAULT_NAMES, name_spans
-from .patterns import CATEGORIES, TOKEN, unicode
-from .spans import any_spans, found, placed
+from .patterns import CATEGORIES, FOLDS, TOKEN, unicode
+from .spans import SENTINEL, any_spans, found, placed, safe
 
 CUSTOM = "custom"
-SPAN = "array<struct<start:int,neg:int,seq:int,end:int,category:string,text:string>>"
+ONE_SPAN = "struct<start:int,neg:int,seq:int,end:int,category:string,text:string>"
+SPAN = f"array<{ONE_SPAN}>"
 
 
 @dataclass(frozen=True)
@@ -49,26 +52,34 @@ def valid_pattern(pattern: str) -> bool:
     return True
 
 
-def _gate(z: Column, kind: str) -> Column | None:
-    if kind == "d":
-        return z["digit"]
-    return z["text"].contains(kind) if kind else None
+def _gate(z: Column, digit: bool, words: tuple[str, ...]) -> Column | None:
+    """Whether a text may match at all: a digit, one of the words in it."""
+    if not words:
+        return z["digit"] if digit else None
+    holds = reduce(or_, [z["low"].contains(w) for w in words], z["folds"])
+    return z["digit"] & holds if digit else holds
 
 
-def _tagged(s: Column, seq: Column, category: Column) -> Column:
+def _tagged(s: Column, seq: Column, category: Column, text: Column | None = None) -> Column:
     return F.struct(
         s["start"].alias("start"),
         (s["start"] - s["end"]).alias("neg"),
         seq.alias("seq"),
         s["end"].alias("end"),
         category.alias("category"),
-        s["text"].alias("text"),
+        (s["text"] if text is None else text).alias("text"),
     )
 
 
-def _entry_spans(e: Column) -> Column:
+def _entry_spans(z: Column, e: Column) -> Column:
+    """The spans of one pattern; their texts are the original's, if that holds sentinels, which were replaced before the scan."""
     valid = F.filter(placed(e), lambda s: ~e["digit"] | s["text"].rlike(r"(?U)\d"))
-    return F.transform(valid, lambda s: _tagged(s, e["seq"], e["category"]))
+
+    def tagged(s: Column) -> Column:
+        own = F.when(z["marked"], F.substring(z["text"], s["start"] + 1, s["end"] - s["start"])).otherwise(s["text"])
+        return _tagged(s, e["seq"], e["category"], own)
+
+    return F.transform(valid, tagged)
 
 
 def all_spans(text: Column, opts: ScanOptions | None = None) -> Column:
@@ -83,7 +94,7 @@ def all_spans(text: Column, opts: ScanOptions | None = None) -> Column:
 
         def scan(pattern: str, category: str, gate: Column | None = None, digit: bool = False) -> None:
             tags = {"seq": F.lit(next(seq)), "category": F.lit(category), "digit": F.lit(digit)}
-            entries.append(found(t, pattern, gate, **tags))
+            entries.append(found(z["safe"], pattern, gate, **tags))
 
         def add(spans: Column, category: str) -> None:
             k = next(seq)
@@ -92,7 +103,7 @@ def all_spans(text: Column, opts: ScanOptions | None = None) -> Column:
         for key in opts.keys():
             cat = CATEGORIES[key]
             for i, p in enumerate(cat.patterns):
-                scan(unicode(p), key, _gate(z, cat.gate(i)), cat.needs_digit)
+                scan(unicode(p), key, _gate(z, *cat.gate(i)), cat.needs_digit)
             if key == "names":
                 for spans in name_spans(t, opts.first_names):
                     add(spans, key)
@@ -102,11 +113,18 @@ def all_spans(text: Column, opts: ScanOptions | None = None) -> Column:
             scan(rf"(?iU)\b{escaped(literal)}\b", CUSTOM)
         if entries:
             hit = F.filter(F.array(*entries), lambda e: e.isNotNull())
-            arrays.append(F.flatten(F.transform(hit, _entry_spans)))
+            arrays.append(F.flatten(F.transform(hit, lambda e: _entry_spans(z, e))))
         return F.sort_array(F.concat(*arrays)) if arrays else F.array().cast(SPAN)
 
     blank = F.coalesce(F.length(F.btrim(text)) == 0, F.lit(True))
-    gates = F.struct(text.alias("text"), text.rlike(r"(?U)\d").alias("digit"))
+    gates = F.struct(
+        text.alias("text"),
+        safe(text).alias("safe"),
+        text.rlike(r"(?U)\d").alias("digit"),
+        F.lower(text).alias("low"),
+        text.rlike(f"[{FOLDS}]").alias("folds"),
+        text.contains(SENTINEL).alias("marked"),
+    )
     return F.when(blank, F.array().cast(SPAN)).otherwise(let(gates, of))
 
 
@@ -155,13 +173,13 @@ def _islands(spans: Column) -> Column:
 def _longest(island: Column) -> Column:
     """Left to right: an overlapping span takes the last one's place if it is longer, else it goes."""
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.when(s["neg"] < last["neg"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(s))).otherwise(acc)
-        return F.when(s["start"] < last["end"], longer).otherwise(F.concat(acc, F.array(s)))
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
+        over = s["start"] < last["end"]
+        stays = over & (s["neg"] >= last["neg"])
+        return F.when(stays, last).otherwise(s), F.when(over, F.array().cast(SPAN)).otherwise(F.array(last))
 
-    first = F.slice(island, 1, 1)
-    return F.when(F.size(island) == 1, island).otherwise(F.aggregate(F.slice(island, 2, F.size(island)), first, step))
+    folded = fold_emitting(F.slice(island, 2, F.size(island)), F.element_at(island, 1), step, ONE_SPAN)
+    return F.when(F.size(island) == 1, island).otherwise(let(folded, lambda f: F.concat(f["out"], F.array(f["state"]))))
 
 
 def resolve(spans: Column, policy: str = "compat", text: Column | None = None) -> Column:
@@ -206,9 +224,12 @@ def detect(text: Column, opts: ScanOptions | None = None, policy: str = "compat"
 
 def summary(spans: Column) -> Column:
     """Map of counts by category, keys in order."""
-    cats = F.transform(spans, lambda s: s["category"])
-    keys = F.sort_array(F.array_distinct(cats))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(cats, lambda c: c == k)).cast("long")))
+
+    def of(cats: Column) -> Column:
+        keys = F.sort_array(F.array_distinct(cats))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(cats, lambda c: c == k)).cast("long")))
+
+    return let(F.transform(spans, lambda s: s["category"]), of)
 
 
 # ---- masking ------------------------------------------------------------------------------------

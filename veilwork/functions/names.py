@@ -7,13 +7,14 @@ text file with one name a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import let, prefix_sums
-from .spans import EMPTY
+from .arrays import fold_emitting, let, prefix_sums
+from .spans import EMPTY, SPAN
 
 # ---- fixed values --------------------------------------------------------------------------------
 
@@ -33,10 +34,10 @@ NO_SURNAME = tuple(
 
 # ---- end of the fixed values ---------------------------------------------------------------------
 
-#: First name, [initial,] surname: the tail is only looked at, so a rejected candidate consumes nothing.
-FIRST_LAST = r"(?U)\b([A-Za-z]+)(?=(\s+(?:[A-Z]\.\s+)?[A-Z][a-z]{1,20}\b))"
-#: Surname, comma, first name [initial]: one letter is consumed, the rest is looked at.
-LAST_FIRST = r"(?U)\b([A-Z])(?=([a-z]{1,20}),(\s*)([A-Za-z]+)((?:\s+[A-Z]\.?)?)\b)"
+#: First name, [initial,] surname: all of it is looked at, only the first name is consumed, so a rejected candidate costs no other.
+FIRST_LAST = r"(?U)\b(?=([A-Za-z]+\s+(?:[A-Z]\.\s+)?[A-Z][a-z]{1,20}\b))[A-Za-z]+"
+#: Surname, comma, first name [initial]: all of it is looked at, one letter is consumed.
+LAST_FIRST = r"(?U)\b(?=([A-Z][a-z]{1,20},\s*[A-Za-z]+(?:\s+[A-Z]\.?)?\b))[A-Z]"
 ALONE = r"(?U)\b([A-Z](?:[a-z]+|[A-Z]*))\b"
 
 
@@ -52,22 +53,17 @@ def names_frame(spark: SparkSession, names) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
-def _candidates(text: Column, pattern: str, groups: int) -> Column:
-    """``struct<start, head, g2, g3, ...>`` for each candidate; the head is what the pattern consumes."""
-    def of(heads: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        more = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(2, groups + 1)]
-        size = lambda g: F.zip_with(F.slice(g, 1, F.size(heads)), heads, lambda a, b: F.length(a) + F.length(b))
+def _candidates(text: Column, pattern: str, consumed: Callable[[Column], Column]) -> Column:
+    """``struct<start, text>`` of what the pattern's group holds at each match, which consumes ``consumed`` characters."""
+
+    def of(held: Column) -> Column:
+        size = F.transform(held, consumed)
         return let(
-            gaps,
-            lambda g: F.zip_with(
-                prefix_sums(size(g)),
-                F.arrays_zip(F.slice(g, 1, F.size(heads)).alias("gap"), heads.alias("head"), *more),
-                lambda before, z: F.struct(
-                    (before + F.length(z["gap"])).alias("start"),
-                    z["head"].alias("head"),
-                    *[z[f"g{k}"].alias(f"g{k}") for k in range(2, groups + 1)],
-                ),
+            F.split(text, pattern, -1),
+            lambda gaps: F.zip_with(
+                prefix_sums(F.zip_with(F.slice(gaps, 1, F.size(held)), size, lambda g, n: F.length(g) + n)),
+                F.arrays_zip(F.slice(gaps, 1, F.size(held)).alias("gap"), held.alias("text")),
+                lambda before, x: F.struct((before + F.length(x["gap"])).alias("start"), x["text"].alias("text")),
             ),
         )
 
@@ -76,19 +72,17 @@ def _candidates(text: Column, pattern: str, groups: int) -> Column:
 
 def _leftmost(spans: Column) -> Column:
     """Of spans in order of their starts those that a scan from the left would take."""
-    state = F.struct(F.lit(0).alias("end"), F.array().cast(EMPTY).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        taken = F.struct(s["end"].alias("end"), F.concat(acc["out"], F.array(s)).alias("out"))
-        return F.when(s["start"] >= acc["end"], taken).otherwise(acc)
+    def step(end: Column, s: Column) -> tuple[Column, Column]:
+        free = s["start"] >= end
+        return F.when(free, s["end"]).otherwise(end), F.when(free, F.array(s)).otherwise(F.array().cast(EMPTY))
 
-    return F.aggregate(spans, state, step, lambda acc: acc["out"])
+    return F.when(F.size(spans) < 2, spans).otherwise(fold_emitting(spans, F.lit(0), step, SPAN)["out"])
 
 
-def _span(text: Column, start: Column, length: Column) -> Column:
-    return F.struct(
-        start.cast("int").alias("start"), (start + length).cast("int").alias("end"), F.substring(text, start + 1, length).alias("text")
-    )
+def _span(c: Column) -> Column:
+    end = c["start"] + F.length(c["text"])
+    return F.struct(c["start"].cast("int").alias("start"), end.cast("int").alias("end"), c["text"].alias("text"))
 
 
 def _guarded(text: Column, pattern: str, spans: Column) -> Column:
@@ -99,23 +93,16 @@ def name_spans(text: Column, first_names=DEFAULT_NAMES) -> list[Column]:
     """The three dictionary patterns of names, in order, each ``array<struct<start, end, text>>``."""
     known = sorted({n.lower() for n in first_names})
     alone = sorted(set(known) - set(AMBIGUOUS))
-    length = F.length
-    first = F.filter(_candidates(text, FIRST_LAST, 2), lambda c: F.lower(c["head"]).isin(known))
-    first = F.transform(first, lambda c: _span(text, c["start"], length(c["head"]) + length(c["g2"])))
+    head = lambda t: F.regexp_extract(t, "^[A-Za-z]+", 0)
+    given = lambda t: F.regexp_extract(t, r"(?U),\s*([A-Za-z]+)", 1)
+    first = F.filter(_candidates(text, FIRST_LAST, lambda t: F.length(head(t))), lambda c: F.lower(head(c["text"])).isin(known))
     last = F.filter(
-        _candidates(text, LAST_FIRST, 5),
-        lambda c: F.lower(c["g4"]).isin(known) & ~F.concat(c["head"], c["g2"]).isin(*NO_SURNAME),
-    )
-    last = F.transform(
-        last, lambda c: _span(text, c["start"], 2 + length(c["g2"]) + length(c["g3"]) + length(c["g4"]) + length(c["g5"]))
-    )
-    single = F.filter(
-        _candidates(text, ALONE, 1),
-        lambda c: F.lower(c["head"]).isin(alone),
+        _candidates(text, LAST_FIRST, lambda t: F.lit(1)),
+        lambda c: F.lower(given(c["text"])).isin(known) & ~F.substring_index(c["text"], ",", 1).isin(*NO_SURNAME),
     )
-    single = F.transform(single, lambda c: _span(text, c["start"], length(c["head"])))
+    single = F.filter(_candidates(text, ALONE, F.length), lambda c: F.lower(c["text"]).isin(alone))
     return [
-        _guarded(text, FIRST_LAST, _leftmost(first)),
-        _guarded(text, LAST_FIRST, _leftmost(last)),
-        _guarded(text, ALONE, single),
+        _guarded(text, FIRST_LAST, let(F.transform(first, _span), _leftmost)),
+        _guarded(text, LAST_FIRST, let(F.transform(last, _span), _leftmost)),
+        _guarded(text, ALONE, F.transform(single, _span)),
     ]

@@ -131,17 +131,40 @@ TOKEN = "[REDACTED]"
 
 # ---- end of the fixed values ---------------------------------------------------------------------
 
-#: What a text must hold for a pattern to match at all: "" nothing, "d" a digit, or a literal.
+#: What a text must hold for a pattern to match: whether a digit, and one of some words (lower case; none: no condition).
+MONTH_WORDS = "jan feb mar apr may jun jul aug sep oct nov dec"
 GATES = {
-    ("addresses", 3): "",
-    ("emails", 0): "@",
-    ("urls", 0): "://",
-    ("urls", 1): ".",
-    ("biometric", 0): "",
-    ("student_records", 1): "",
-    ("financial", 0): "$",
-    ("names", 0): "",
+    ("names", 0): (False, "mr ms miss dr prof"),
+    ("addresses", 1): (True, "box"),
+    ("addresses", 3): (False, ","),
+    ("addresses", 4): (True, "apt apartment suite ste unit room rm"),
+    ("dates", 1): (True, MONTH_WORDS),
+    ("dates", 2): (True, MONTH_WORDS),
+    ("dates", 4): (True, "dob d.o.b birth born"),
+    ("dates", 5): (True, "age"),
+    ("dates", 6): (True, "year yo y/o"),
+    ("phones", 1): (True, "("),
+    ("fax", 0): (True, "fax facsimile"),
+    ("emails", 0): (False, "@"),
+    ("ssn", 2): (True, "ssn"),
+    ("mrn", 0): (True, "mr m.r medical"),
+    ("health_plan", 0): (True, "health beneficiary member subscriber policy group insurance"),
+    ("accounts", 0): (True, "account acct routing"),
+    ("licenses", 0): (True, "lic cert dl"),
+    ("vehicles", 0): (True, "plate vin vehicle"),
+    ("devices", 1): (True, "serial s/n device"),
+    ("urls", 0): (False, "://"),
+    ("urls", 1): (False, "www."),
+    ("ips", 0): (True, "."),
+    ("biometric", 0): (False, "fingerprint retina voice dna"),
+    ("unique_ids", 0): (True, "student employee faculty staff case file reference personnel applicant patient client"),
+    ("unique_ids", 1): (True, "sid eid uid emplid banner"),
+    ("student_records", 0): (True, "gpa grade"),
+    ("student_records", 1): (False, "grade"),
+    ("financial", 0): (False, "$"),
 }
+#: Other letters that case-insensitive patterns take for i, k and s.
+FOLDS = "\u0130\u0131\u212a\u017f"
 
 
 @dataclass(frozen=True)
@@ -151,8 +174,9 @@ class Category:
     needs_digit: bool
     patterns: tuple[str, ...]
 
-    def gate(self, i: int) -> str:
-        return GATES.get((self.key, i), "d")
+    def gate(self, i: int) -> tuple[bool, tuple[str, ...]]:
+        digit, words = GATES.get((self.key, i), (True, ""))
+        return digit, tuple(words.split())
 
 
 CATEGORIES = {key: Category(key, label, digit, pats) for key, label, digit, pats in FIXED}

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .arrays import let, prefix_sums
 
-EMPTY = "array<struct<start:int,end:int,text:string>>"
+SPAN = "struct<start:int,end:int,text:string>"
+EMPTY = f"array<{SPAN}>"
 #: Brackets matches of patterns that may be empty; a text's own sentinels are replaced by ``SPARE`` first.
 SENTINEL, SPARE = "", ""
 
@@ -31,19 +32,33 @@ def _placed(gaps: Column, hits: Column) -> Column:
     )
 
 
+def safe(text: Column) -> Column:
+    """``text`` without sentinels, length kept."""
+    return F.translate(text, SENTINEL, SPARE)
+
+
 def found(text: Column, pattern: str, gate: Column | None = None, **tags: Column) -> Column:
-    """``struct<hits, gaps, tags>`` of all matches, null if there are none; ``placed`` gives their spans.
+    """``struct<parts, tags>`` of a ``safe`` text cut at all matches, null if there are none; ``placed`` gives their spans.
 
-    Many of these share one ``placed``, so the plan stays small.
+    Every second part is a match. Many of these share one ``placed``, so the plan stays small.
     """
     use = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")
+    parts = F.split(F.regexp_replace(text, pattern, f"{SENTINEL}$0{SENTINEL}"), SENTINEL, -1)
     extra = [c.alias(name) for name, c in tags.items()]
-    return F.when(F.coalesce(use, F.lit(False)), F.struct(hits, F.split(text, pattern, -1).alias("gaps"), *extra))
+    return F.when(F.coalesce(use, F.lit(False)), F.struct(parts.alias("parts"), *extra))
 
 
 def placed(entry: Column) -> Column:
-    return _placed(entry["gaps"], entry["hits"])
+    """Spans of the matches in what ``found`` gives."""
+
+    def of(parts: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.floor(F.size(parts) / F.lit(2)).cast("int") - 1)
+        size = F.transform(pairs, lambda i: F.length(F.get(parts, 2 * i)) + F.length(F.get(parts, 2 * i + 1)))
+        return F.zip_with(
+            prefix_sums(size), pairs, lambda before, i: span_struct(before + F.length(F.get(parts, 2 * i)), F.get(parts, 2 * i + 1))
+        )
+
+    return let(entry["parts"], of)
 
 
 def match_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
@@ -61,8 +76,7 @@ def match_spans(text: Column, pattern: str, gate: Column | None = None) -> Colum
 
 def any_spans(text: Column, pattern: str) -> Column:
     """As ``match_spans`` for any pattern; empty matches are left out."""
-    safe = F.translate(text, SENTINEL, SPARE)
-    marked = F.split(F.regexp_replace(safe, pattern, f"{SENTINEL}$0{SENTINEL}"), SENTINEL, -1)
+    marked = F.split(F.regexp_replace(safe(text), pattern, f"{SENTINEL}$0{SENTINEL}"), SENTINEL, -1)
 
     def of(parts: Column) -> Column:
         starts = prefix_sums(F.transform(parts, lambda p: F.length(p)))

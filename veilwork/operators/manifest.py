@@ -35,9 +35,38 @@ def image_path(path: Column, page: Column, fmt: str = "PNG") -> Column:
     return F.concat(stem, F.lit("_images/"), name, F.lit("_p"), F.lpad(page.cast("string"), 3, "0"), F.lit(ext))
 
 
-def manifest(files: DataFrame, out_dir: str | None = None, suffix: str = SUFFIX) -> DataFrame:
-    """``(path, out, error)``: an error where the output is the source, or where two sources share an output."""
-    out = files.select("path", output_path(F.col("path"), out_dir, suffix).alias("out"))
+def image_name(path: str, page: int, fmt: str = "PNG") -> str:
+    """As ``image_path``, for one path."""
+    folder, _, name = path.rpartition("/")
+    stem = name[: name.rfind(".")] if name.rfind(".") > 0 else name
+    at = f"{stem}_images/{stem}_p{page:03d}" + (".jpg" if fmt.upper() in ("JPG", "JPEG") else ".png")
+    return f"{folder}/{at}" if folder else at
+
+
+def dropped_paths(text: str) -> list[str]:
+    """Paths in a string of dropped files: apart by white space, those with spaces in braces. One without its end takes the rest."""
+    import re
+
+    return [braced or plain for braced, plain in re.findall(r"\{([^}]*)\}?|(\S+)", text) if braced or plain]
+
+
+def queued(files: DataFrame, more: DataFrame) -> DataFrame:
+    """The queue with the supported ones of ``more`` that it doesn't hold yet."""
+    return supported(files.select("path").unionByName(more.select("path")))
+
+
+def manifest(files: DataFrame, out_dir: str | None = None, suffix: str = SUFFIX, out_path: str | dict[str, str] | None = None) -> DataFrame:
+    """``(path, out, error)``: an error where the output is the source, or where two sources share an output.
+
+    ``out_path``: the output of a single file, or outputs by the ends of their sources' paths (a short list, part of the plan).
+    """
+    to = output_path(F.col("path"), out_dir, suffix)
+    if isinstance(out_path, str):
+        to = F.lit(out_path)
+    elif out_path:
+        for end, own in out_path.items():
+            to = F.when(F.col("path").endswith(end), F.lit(own)).otherwise(to)
+    out = files.select("path", to.alias("out"))
     shared = out.groupBy("out").agg(F.count("*").alias("_n"))
     kept = extension(F.col("path")).isin(*EXTENSIONS)
     error = (

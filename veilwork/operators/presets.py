@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,29 +19,41 @@ def category_labels() -> dict[str, str]:
     return {c.key: c.label for c in CATEGORIES.values()}
 
 
-def preset_path(folder: str, name: str) -> Path:
+def preset_path(folder: str, name: str) -> str:
     """Letters, digits, spaces, ``_`` and ``-`` of the name make the file's; so different names may share a file."""
-    return Path(folder) / ("".join(filter(lambda c: c.isalnum() or c in " _-", name)).rstrip() + ".json")
+    return f"{folder.rstrip('/')}/" + "".join(filter(lambda c: c.isalnum() or c in " _-", name)).rstrip() + ".json"
 
 
-def save_preset(folder: str, name: str, categories: list[str]) -> Path:
+def _store(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def save_preset(folder: str, name: str, categories: list[str]) -> str:
     path = preset_path(folder, name)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps({"name": name, "categories": categories}, indent=2), encoding="utf-8")
+    store, at = _store(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(json.dumps({"name": name, "categories": categories}, indent=2).encode())
     return path
 
 
 def delete_preset(folder: str, name: str) -> bool:
     """Whether there was one."""
-    path = preset_path(folder, name)
-    found = path.exists()
-    path.unlink(missing_ok=True)
+    store, at = _store(preset_path(folder, name))
+    found = store.get_file_info(at).is_file
+    if found:
+        store.delete_file(at)
     return found
 
 
 def saved_presets(spark: SparkSession, folder: str) -> DataFrame:
     """``(name, categories)`` from the folder's JSON files; malformed ones are left out, of a name the last file's counts."""
-    if not list(Path(folder).glob("*.json")):
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/*.json")
+    if not pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern):
         return spark.createDataFrame([], "name string, categories array<string>")
     read = spark.read.text(f"{folder}/*.json", wholetext=True).select(
         F.input_file_name().alias("file"), F.from_json("value", "name string, categories array<string>").alias("p")

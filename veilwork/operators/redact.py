@@ -6,22 +6,23 @@ rewrites the archives, one file at a time. What one file needs is gathered by it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions.detect import ScanOptions, detect, mask_runs, needles, summary
 from veilwork.sources import files as source
 from veilwork.sources import ooxml, pdf
 
-from .manifest import SUFFIX, image_path, manifest
+from .manifest import EXTENSIONS, SUFFIX, image_name, image_path, manifest
 from .report import file_text
 from .tabular import mask_cells
 
-RESULT = "file_id string, out string, redaction_count long, per_category map<string,bigint>, error string"
-MASKED = RESULT + ", content binary"
+ROW = "file_id string, out string, redaction_count long, per_category map<string,bigint>, error string"
+MASKED = ROW + ", content binary"
+RESULT = ROW + ", outputs array<string>"
 
 
 def _sum_maps(maps):
@@ -57,16 +58,41 @@ def edits(found: DataFrame, opts: ScanOptions) -> DataFrame:
     return by_unit.unionByName(by_cell, allowMissingColumns=True)
 
 
-def scan_files(spark: SparkSession, path: str, opts: ScanOptions | None = None) -> DataFrame:
-    """``(path, per_category, error)``, by the same steps as masking, so the counts agree."""
-    return edits(source.binary_files(spark, path), opts or ScanOptions()).select("path", "per_category", "error")
+def scan_found(found: DataFrame, opts: ScanOptions | None = None) -> DataFrame:
+    """``scan_files`` of files (path, content)."""
+    return edits(found, opts or ScanOptions()).select("path", "per_category", "error")
 
 
-def masked_files(spark: SparkSession, path: str, opts: ScanOptions | None = None, out_dir: str | None = None, suffix: str = SUFFIX) -> DataFrame:
-    """``(file_id, out, redaction_count, per_category, error, content)``: masked copies of the files below ``path``."""
+def scan_files(spark: SparkSession, path: str, opts: ScanOptions | None = None) -> DataFrame:
+    """``(path, per_category, error)``, by the same steps as masking, so the counts agree."""
+    return scan_found(source.binary_files(spark, path), opts)
+
+
+def masked_files(
+    spark: SparkSession,
+    path: str,
+    opts: ScanOptions | None = None,
+    out_dir: str | None = None,
+    suffix: str = SUFFIX,
+    out_path: str | dict[str, str] | None = None,
+) -> DataFrame:
+    """``masked_found`` of the files below ``path``."""
+    return masked_found(source.binary_files(spark, path), opts, out_dir, suffix, out_path)
+
+
+def masked_found(
+    found: DataFrame,
+    opts: ScanOptions | None = None,
+    out_dir: str | None = None,
+    suffix: str = SUFFIX,
+    out_path: str | dict[str, str] | None = None,
+) -> DataFrame:
+    """``(file_id, out, redaction_count, per_category, error, content)``: masked copies of the files (path, content).
+
+    ``out_path``: where the copy goes, for a single file; for several, by the end of the source's path.
+    """
     opts = opts or ScanOptions()
-    found = source.binary_files(spark, path)
-    plan = manifest(found.select("path"), out_dir, suffix).withColumnRenamed("error", "out_error")
+    plan = manifest(found.select("path"), out_dir, suffix, out_path).withColumnRenamed("error", "out_error")
     wide = (
         found.select("path", "content")
         .join(edits(found, opts), "path", "left")
@@ -98,27 +124,48 @@ def masked_files(spark: SparkSession, path: str, opts: ScanOptions | None = None
     return wide.mapInPandas(each, MASKED)
 
 
-def write_files(masked: DataFrame) -> DataFrame:
-    """Write each masked copy to its ``out`` path, in whatever file system that is; the result rows without contents."""
+def write_one(put: Callable[[str, bytes], None], out: str, content: bytes, image_format: str | None = None) -> tuple[list[str], str | None]:
+    """Write one masked file, and the pages of a PDF as images if a format is given: what was written, and an error."""
+    done: list[str] = []
+    try:
+        put(out, content)
+        done.append(out)
+        if image_format and out.lower().endswith(".pdf"):
+            for n, shot in enumerate(pdf.rendered(content, image_format), 1):
+                at = image_name(out, n, image_format)
+                put(at, shot)
+                done.append(at)
+    except Exception as e:  # what is written already stays
+        return done, f"{type(e).__name__}: {e}"
+    return done, None
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import posixpath
 
-        from pyarrow import fs
+def put_bytes(out: str, content: bytes) -> None:
+    """To a path in any file system that Arrow knows."""
+    import posixpath
+
+    from pyarrow import fs
+
+    local = out.startswith("file:/") and not out.startswith("file:///")
+    store, at = fs.FileSystem.from_uri(out.replace("file:/", "file:///", 1) if local else out)
+    store.create_dir(posixpath.dirname(at), recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(content)
 
+
+def write_files(masked: DataFrame, image_format: str | None = None) -> DataFrame:
+    """Write each masked copy to its ``out`` path, in whatever file system that is; the result rows without contents.
+
+    ``image_format``: pages of PDF files are written as images too. ``outputs`` lists what was written.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            errors = []
-            for out, content, error in zip(b["out"], b["content"], b["error"]):
-                if error is None:
-                    try:
-                        store, at = fs.FileSystem.from_uri(out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file:///") else out)
-                        store.create_dir(posixpath.dirname(at), recursive=True)
-                        with store.open_output_stream(at) as f:
-                            f.write(content)
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                errors.append(error)
-            yield b.drop(columns="content").assign(error=errors)
+            done = [
+                write_one(put_bytes, out, content, image_format) if error is None else ([], error)
+                for out, content, error in zip(b["out"], b["content"], b["error"])
+            ]
+            yield b.drop(columns="content").assign(error=[e for _, e in done], outputs=[o for o, _ in done])
 
     return masked.mapInPandas(each, RESULT)
 
@@ -152,6 +199,28 @@ def extract_text(spark: SparkSession, path: str) -> DataFrame:
     return errors.join(file_text(every), "file_id", "left").select("file_id", F.coalesce("text", F.when(F.col("error").isNull(), F.lit(""))).alias("text"), "error")
 
 
-def redact_files(spark: SparkSession, path: str, opts: ScanOptions | None = None, out_dir: str | None = None, suffix: str = SUFFIX) -> list:
-    """Mask the files below ``path`` and write the copies; a result row per file."""
-    return write_files(masked_files(spark, path, opts, out_dir, suffix)).collect()
+def redact_files(
+    spark: SparkSession,
+    path: str,
+    opts: ScanOptions | None = None,
+    out_dir: str | None = None,
+    suffix: str = SUFFIX,
+    out_path: str | dict[str, str] | None = None,
+    image_output: bool = False,
+    image_format: str = "PNG",
+) -> list:
+    """Mask the files below ``path`` and write the copies; a result row per file.
+
+    ``image_output``: the pages of masked PDF files are written as images too, in a folder named after the masked file.
+    """
+    masked = masked_files(spark, path, opts, out_dir, suffix, out_path)
+    return write_files(masked, image_format if image_output else None).collect()
+
+
+def redact_file(spark: SparkSession, path: str, opts: ScanOptions | None = None, **how):
+    """``redact_files`` for one file: its result row. A kind of file that can't be read is an error in the row."""
+    if not path.lower().endswith(EXTENSIONS):
+        kind = path[path.rfind(".") :] if "." in path.rsplit("/", 1)[-1] else ""
+        return Row(file_id=path, out=None, redaction_count=0, per_category={}, error=f"Unsupported file type: {kind.lower()}", outputs=[])
+    (row,) = redact_files(spark, path, opts, **how)
+    return row

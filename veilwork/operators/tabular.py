@@ -101,14 +101,24 @@ def column_category(label: str, keys: set[str]) -> str | None:
     return next((cat for rule, cat in HEADER_RULES if cat in keys and re.search(rule, text, re.IGNORECASE)), None)
 
 
+def numbered(df: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
+    """``df`` with its rows numbered from 1 in order of a numeric ``key``: inside ranges of the key, and by the ranges' sizes."""
+    (cuts,) = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()
+    part = sum(((F.col(key) > F.lit(c)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+    ranged = df.withColumn("_part", part)
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # at most ``parts`` rows
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return ranged.join(F.broadcast(bases), "_part").withColumn(name, (inside + F.col("_base")).cast("int")).drop("_part", "_base")
+
+
 def to_cells(df: DataFrame, file_id: str, key: str, columns: dict[str, str], sheet: str = "Sheet1") -> DataFrame:
     """A table as the cells of a sheet: a header row of labels, then the rows in order of ``key``.
 
-    ``columns``: column to label. Row numbers come from a window per table of counts, so
-    use it for sheets, not for tables beyond a sheet's size.
+    ``columns``: column to label; ``key`` is numeric.
     """
-    order = Window.partitionBy(F.lit(file_id)).orderBy(key)
-    rows = df.withColumn("_row", F.row_number().over(order) + 1)
+    rows = numbered(df.select(key, *[c for c in columns if c != key]), key, "_row").withColumn("_row", F.col("_row") + 1)
     kinds = dict(df.dtypes)
     each = [
         F.struct(

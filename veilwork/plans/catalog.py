@@ -11,11 +11,11 @@ from veilwork.functions.detect import ScanOptions, all_spans, detect, mask, mask
 from veilwork.functions.names import AMBIGUOUS, DEFAULT_NAMES, names_frame
 from veilwork.functions.patterns import CATEGORIES, FERPA, HEADER_RULES, HIPAA, TOKEN
 from veilwork.operators import manifest as man
-from veilwork.operators import presets, report, runs, tabular
-from veilwork.sources.files import table_units
+from veilwork.operators import presets, redact, report, runs, tabular
+from veilwork.sources.files import read_cells, read_units, table_units
 from veilwork.streaming import live
 
-from . import oracle
+from . import archives, oracle
 from .samples import MIXED, SAMPLES, units, units_sql
 
 DOCS = ("documents", "doc_id", "text")
@@ -60,7 +60,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _register_category(key: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return listed(report.spread(units(spark, sf_dir, SAMPLES[key])), detect(F.col("text"), ScanOptions([key])))
+        return listed(units(spark, sf_dir, SAMPLES[key]), detect(F.col("text"), ScanOptions([key])))
 
     query(f"detect_{key}", f"{oracle.resolved(units_sql(SAMPLES[key]), [key])} {LIST_SQL}")(run)
 
@@ -72,7 +72,7 @@ COUNT_SQL = "select category, count(*) as n from r group by category"
 
 
 def _counts(spark: SparkSession, sf_dir: str, opts: ScanOptions) -> DataFrame:
-    found = report.spread(units(spark, sf_dir, DOCS)).select(F.col("key").alias("file_id"), "text")
+    found = units(spark, sf_dir, DOCS).select(F.col("key").alias("file_id"), "text")
     return report.scan(found, opts).groupBy("category").agg(F.sum("n").alias("n"))
 
 
@@ -89,7 +89,7 @@ _register_counts("preset_hipaa_counts", list(HIPAA))
 
 @query("spans_emails_offsets", f"{oracle.resolved(units_sql(DOCS), ['emails'])} {LIST_SQL}")
 def spans_emails_offsets(spark, sf_dir):
-    return listed(report.spread(units(spark, sf_dir, DOCS)), detect(F.col("text"), ScanOptions(["emails"])))
+    return listed(units(spark, sf_dir, DOCS), detect(F.col("text"), ScanOptions(["emails"])))
 
 
 @query("detect_emails_by_lang", rf"""
@@ -174,7 +174,7 @@ def interval_merge(spark, sf_dir):
 
 @query("mask_documents", oracle.masked(oracle.resolved(units_sql(DOCS), list(CATEGORIES))))
 def mask_documents(spark, sf_dir):
-    return report.masked(report.spread(units(spark, sf_dir, DOCS))).select("key", "masked")
+    return report.masked(units(spark, sf_dir, DOCS)).select("key", "masked")
 
 
 @query("mask_mixed_cover", oracle.masked(f"{oracle.spans(units_sql(MIXED), list(CATEGORIES))}{_COVER_SQL}", "c"))
@@ -325,6 +325,123 @@ def header_mask_wide(spark, sf_dir):
     return tabular.mask_table(wide)
 
 
+# ---- files --------------------------------------------------------------------------------------
+
+FILE_ROWS = 100
+_PATHS = "'/data/' || cast(s_nationkey as string) || '/' || s_name || case s_suppkey % 4 when 0 then '.docx' when 1 then '.XLSX' when 2 then '.v2.pdf' else '.txt' end"
+_FILE = f"'/in/' || cast(floor(key / {FILE_ROWS}) as int) || '.docx'"
+_FILE_KEYS = ["ssn", "emails", "phones"]
+
+
+def _docx_files(spark, sf_dir):
+    """Word files of the mixed texts: neighbouring keys share a file, a paragraph is a text in runs of ten characters."""
+    rows = _run_rows(spark, sf_dir).select(F.expr(_FILE).alias("path"), F.col("key").alias("ord"), "runs")
+    return archives.docx_files(rows)
+
+
+#: Paragraphs in the order that readers give: those outside tables, those inside, then the header, which repeats the last one.
+_UNIT_SQL = f"""
+u0 as (select {_FILE} as path, key, text, row_number() over (partition by {_FILE} order by key) - 1 as no,
+              count(*) over (partition by {_FILE}) as n from t),
+u1 as (
+  select path, key, no % 3 = 2 as inside, no, false as head from u0
+  union all select path, key, false, no, true from u0 where no = n - 1),
+w as (select path, key, case when head then 'header' when inside then 'cell' else 'paragraph' end as unit_kind,
+             cast(row_number() over (partition by path order by head, inside, no) - 1 as int) as unit_ord from u1)"""
+
+
+@query("docx_units", f"""with t as ({units_sql(MIXED)}),{_UNIT_SQL}
+select path, unit_ord, unit_kind, text from w join t using (key)""")
+def docx_units(spark, sf_dir):
+    found = read_units(_docx_files(spark, sf_dir))
+    return found.select(F.col("file_id").alias("path"), "unit_ord", "unit_kind", "text")
+
+
+@query("docx_text", f"""with t as ({units_sql(MIXED)}),{_UNIT_SQL}
+select path as file_id, string_agg(text, chr(10) order by unit_ord) as text from w join t using (key) group by path""")
+def docx_text(spark, sf_dir):
+    return report.file_text(read_units(_docx_files(spark, sf_dir)).select("file_id", "unit_ord", "text"))
+
+
+@query("docx_counts", f"""{oracle.resolved(units_sql(MIXED), _FILE_KEYS)},{_UNIT_SQL}
+select path, category, count(*) as n from w join r using (key) group by all""")
+def docx_counts(spark, sf_dir):
+    found = redact.scan_found(_docx_files(spark, sf_dir), ScanOptions(_FILE_KEYS))
+    return found.select("path", F.explode("per_category").alias("category", "n"))
+
+
+@query("docx_masked", oracle.masked(oracle.resolved(units_sql(MIXED), _FILE_KEYS)))
+def docx_masked(spark, sf_dir):
+    """Masked and read back; the texts are told apart by the key that they begin with."""
+    done = redact.masked_found(_docx_files(spark, sf_dir), ScanOptions(_FILE_KEYS), "/out")
+    units_ = read_units(done.select(F.col("out").alias("path"), "content"))
+    key = F.regexp_extract("text", "^Order ([0-9]+) ", 1).cast("long").alias("key")
+    return units_.where("unit_kind <> 'header'").select(key, F.col("text").alias("masked"))
+
+
+def _xlsx_files(spark, sf_dir):
+    return archives.xlsx_files(_sheet(spark, sf_dir).withColumn("file_id", F.lit("/in/customer.xlsx")))
+
+
+@query("xlsx_cells", f"with {_CELLS_SQL} select '/in/customer.xlsx' as file_id, 'Sheet1' as sheet, row_no, col_no, vtype, value from cells where value is not null")
+def xlsx_cells(spark, sf_dir):
+    return read_cells(_xlsx_files(spark, sf_dir)).drop("error")
+
+
+@query("xlsx_masked", f"""with {_CELLS_SQL}
+select row_no, col_no, case when row_no > 1 and col_no in (2, 4) then '{TOKEN}' else regexp_replace(value, '\\b\\d{{7,10}}\\b', '{TOKEN}', 'g') end as masked
+from cells where value is not null""")
+def xlsx_masked(spark, sf_dir):
+    done = redact.masked_found(_xlsx_files(spark, sf_dir), ScanOptions(["unique_ids", "addresses"]), "/out")
+    cells = read_cells(done.select(F.col("out").alias("path"), "content"))
+    return cells.select("row_no", "col_no", F.col("value").alias("masked"))
+
+
+@query("xlsx_counts", f"""with {_CELLS_SQL}
+select category, count(*) as n from (
+  select 'unique_ids' as category from cells where row_no > 1 and col_no = 2 and value is not null union all
+  select 'addresses' from cells where row_no > 1 and col_no = 4 union all
+  select 'unique_ids' from cells where row_no > 1 and col_no = 1) group by category""")
+def xlsx_counts(spark, sf_dir):
+    found = redact.scan_found(_xlsx_files(spark, sf_dir), ScanOptions(["unique_ids", "addresses"]))
+    return found.select(F.explode("per_category").alias("category", "n"))
+
+
+@query("properties_scrubbed", f"""
+select distinct replace(replace({_FILE}, '/in/', '/out/'), '.docx', '_REDACTED.docx') as path, '' as creator, '' as title, '' as editor, 'en' as language
+from ({units_sql(MIXED)}) union all select '/out/customer_REDACTED.xlsx', '', '', '', 'en'""")
+def properties_scrubbed(spark, sf_dir):
+    every = _docx_files(spark, sf_dir).unionByName(_xlsx_files(spark, sf_dir))
+    done = redact.masked_found(every, ScanOptions(["ssn"]), "/out")
+    return archives.properties(done.select(F.col("out").alias("path"), "content"))
+
+
+@query("broken_files", f"""
+select distinct {_FILE} as path, 'BadZipFile: File is not a zip file' as error, cast(0 as bigint) as redaction_count, false as written from ({units_sql(MIXED)})
+union all select '/in/a.txt', 'Unsupported file type: .txt', 0, false""")
+def broken_files(spark, sf_dir):
+    bad = archives.spoiled(_docx_files(spark, sf_dir))
+    odd = spark.range(1).select(F.lit("/in/a.txt").alias("path"), F.lit("text").cast("binary").alias("content"))
+    done = redact.masked_found(bad.unionByName(odd), ScanOptions(["ssn"]), "/out")
+    return done.select(F.col("file_id").alias("path"), "error", "redaction_count", F.col("content").isNotNull().alias("written"))
+
+
+@query("explicit_outputs", """select s_name || '.docx' as path, case when s_suppkey % 2 = 0 then '/own/x.docx' else '/out/' || s_name || '_REDACTED.docx' end as out,
+  case when s_suppkey % 2 = 0 then 'Output path is shared by several sources' end as error from supplier""")
+def explicit_outputs(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    files = names.select(F.concat("s_name", F.lit(".docx")).alias("path"))
+    ends = {f"{d}.docx": "/own/x.docx" for d in "02468"}
+    return man.manifest(files, "/out", out_path=ends)
+
+
+@query("queued_files", f"select distinct path from (select {_PATHS} as path from supplier) where path not like '%.txt' union select '/new a.pdf'")
+def queued_files(spark, sf_dir):
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(f"{_PATHS} as path")
+    more = spark.createDataFrame([(p,) for p in man.dropped_paths("{/new a.pdf} /b.txt")], "path string")
+    return man.queued(files, more.unionByName(files))
+
+
 # ---- reports, joins, sets -----------------------------------------------------------------------
 
 _TALK_SQL = "select conv_id as file_id, turn as unit_ord, text from conversations"
@@ -415,9 +532,6 @@ def extract_text_join(spark, sf_dir):
     return report.file_text(table_units(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "text", "turn"))
 
 
-_PATHS = "'/data/' || cast(s_nationkey as string) || '/' || s_name || case s_suppkey % 4 when 0 then '.docx' when 1 then '.XLSX' when 2 then '.v2.pdf' else '.txt' end"
-
-
 @query("output_manifest", f"""
 select path, '/out/' || regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') || '_REDACTED' || regexp_extract(path, '(\\.[^.]*)$', 1) as out,
        case when path like '%.txt' then 'Unsupported file type: .txt' end as error
