@@ -95,3 +95,21 @@ def test_identifier_counts_are_those_of_the_names_written_out(spark):
                 expected[pair] = expected.get(pair, 0) + r.n
     assert sc.identifier_transitions(docs) == expected
     assert sc.identifier_transitions(docs.limit(0)) == {}
+
+
+def test_report_equals_its_sql(spark):
+    import duckdb
+
+    from tests.oracle import compare
+    from veilwork.llm.oracles import ORACLES
+
+    rnd = random.Random(9)
+    key = lambda n: "".join(rnd.choice(sc.ALPHABET[:62]) for _ in range(n))
+    rows = [(i, t) for i, t in enumerate(HARD)] + [(r[0], r[1]) for r in ROWS if r[0] is not None]
+    rows += [(100 + i, f"the {key(25)} or path/to/{key(22)} and some_ordinary_name_of_{i} é {key(30)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("frame", docs.toPandas())
+    con.execute("create view documents as select cast(doc_id as bigint) as doc_id, text from frame")
+    assert sc.report(docs).where("spans like '%random%'").count() >= 30
+    compare(sc.report(docs), ORACLES["op2_secrets"], con)

@@ -120,8 +120,68 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from m
 """
 
+OP2 = """
+with d as (select row_number() over () as r, doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) as text from documents),
+cut as (
+  select r, 0 as no, regexp_replace(text, '@ASSIGN@', chr(57344) || '\\0' || chr(57344), 'g') as t from d union all
+  select r, 1, regexp_replace(text, 'AKIA[A-Z0-9]+', chr(57344) || '\\0' || chr(57344), 'g') from d union all
+  select r, 2, regexp_replace(text, '[0-9a-f]+', chr(57344) || '\\0' || chr(57344), 'g') from d union all
+  select r, 3, regexp_replace(text, '[A-Za-z0-9+/_=-]{20,}', chr(57344) || '\\0' || chr(57344), 'g') from d),
+p as (select r, no, unnest(string_split(t, chr(57344))) as part, generate_subscripts(string_split(t, chr(57344)), 1) as pos from cut),
+o as (
+  select *, cast(coalesce(sum(length(part)) over (partition by r, no order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as s
+  from p),
+m as (select r, no, part, s, s + length(part) as e from o where pos % 2 = 0),
+base as (
+  select r, no, s, e from m
+  where no = 0 and length(regexp_extract(part, '@ASSIGN@', 2)) >= 6 or no = 1 and length(part) >= 20 or no = 2 and length(part) >= 24),
+-- ordinary names, written out
+raws as (select unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) as raw from d),
+ws as (
+  select regexp_replace(raw, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g') as w, count(*) as n from raws where raw <> '' group by raw),
+names as (
+  select n, unnest([w, w || '_' || w, upper(w || '_' || w), lower(w) || upper(w[1]) || lower(w[2:]) || (n % 100), w || '/' || w || '-' || (n % 100)]) as token
+  from ws where regexp_full_match(w, '[A-Za-z]{2,}')),
+ordinary as (
+  select token[i] as a, token[i + 1] as b, sum(n) as n
+  from (select *, unnest(range(1, length(token))) as i from names) group by all),
+-- random strings, by rule
+hashed as (select id, sha256(cast(id as varchar)) as h, to_base64(unhex(sha256(cast(id as varchar)))) as b from range(20000) t(id)),
+drawn as (
+  select case id % 4 when 0 then h[1:40] when 1 then b when 2 then replace(translate(b, '+/', '-_'), '=', '')
+         else upper(replace(replace(replace(b, '+', ''), '/', ''), '=', '')) end as token from hashed),
+random as (
+  select token[i] as a, token[i + 1] as b, count(*) as n
+  from (select *, unnest(range(1, length(token))) as i from drawn) group by all),
+chars as (select unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-', '')) as c),
+cells as (
+  select x.c as a, y.c as b, 1.0::double + coalesce(r.n, 0) as hi,
+         1.0::double + coalesce(q.n, 0) * least(1.0::double, (select sum(n) from random) / greatest(1, (select sum(n) from ordinary))) as lo
+  from chars x cross join chars y
+  left join random r on r.a = x.c and r.b = y.c left join ordinary q on q.a = x.c and q.b = y.c),
+ratio as (
+  select a, b, round(ln(hi / sum(hi) over (partition by a)) - ln(lo / sum(lo) over (partition by a)), 6) as v from cells),
+tokens as (
+  select row_number() over () as k, m.* from m
+  where no = 3 and len(list_distinct(string_split(part, ''))) >= 6
+    and not exists (select 1 from base b where b.r = m.r and b.s < m.e and m.s < b.e)),
+pieces as (
+  select k, r, s, e, unnest(list_distinct(list_prepend(part, list_filter(string_split_regex(part, '[/_=-]+'), lambda x: length(x) >= 20)))) as piece from tokens),
+scores as (
+  select k, r, s, e, piece, sum(v) / (length(piece) - 1) as mean
+  from (select *, unnest(range(1, length(piece))) as i from pieces) z join ratio on a = piece[i] and b = piece[i + 1]
+  group by k, r, s, e, piece),
+found as (select r, no, s, e from base union all select distinct r, 3, s, e from scores where mean > 0.5),
+named as (select *, ['assign', 'access', 'hex', 'random'][no + 1] || ':' || s || ':' || e as span from found)
+select doc_id, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1) as n_access, count(*) filter (no = 2) as n_hex,
+       sha256(coalesce(string_agg(span, ',' order by s, no, e) filter (no < 3), '')) as base_sha256,
+       coalesce(string_agg(span, ',' order by s, no, e), '') as spans
+from d left join named using (r) group by r, doc_id
+""".replace("@ASSIGN@", r"""(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""".replace("\\\\", "\\"))
+
 ORACLES = {
     "op1_substring_dedup": OP1,
+    "op2_secrets": OP2,
     "op5_mixing": OP5,
     "op6_quality": OP6,
     "op10_line_dedup": OP10,
