@@ -86,7 +86,12 @@ def test_one_document_of_each_group_stays(spark):
     assert got == sorted([(3, a), (3, b), (3, b), (None, c), (None, c), (2, "")], key=repr)
 
 
-def test_a_hub_with_many_links(spark):
+@pytest.mark.parametrize("task_rows", [500_000, 50])
+def test_a_hub_with_many_links(spark, monkeypatch, task_rows):
+    from veilwork.llm import common
+
+    monkeypatch.setattr(common, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(common, "HOT", 20)
     base = [f"w{k}" for k in range(400)]
     rows = [(10_000 - i, " ".join([*base[:k], f"x{i}", *base[k:]])) for i, k in enumerate(range(0, 400, 4))]
     rows += [(i, rows[0][1]) for i in range(20_000, 20_400)] + [(None, "alone and without an id")]

@@ -42,9 +42,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, outlives executors."""
+#: Narrow rows that one task may as well take together.
+TASK_ROWS = 500_000
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def stash(df: DataFrame, name: str, partition_by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, outlives executors.
+
+    ``rows``: how many narrow rows there are at most; few of them go to few files.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(tasks_for(rows))
     path = shared_path(spark, name)
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)

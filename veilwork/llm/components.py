@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, found_in, stash
+from .common import forget, found_in, stash, tasks_for
 
 #: Rounds grow with the logarithm of the longest path; more than this many can't be.
 MAX_ROUNDS = 60
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "star-centres")
-    return found_in(both.where(F.col("v") > F.col("u")), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """``rows`` with their centre's smallest neighbour ``m``. A hub's rows stay where they are, unless all rows are one task's."""
+    if tasks_for(n) == 1:
+        return rows.join(low.drop("n"), "u")
+    return found_in(rows, stash(low, "star-centres", rows=n), "u", "n", n)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = stash(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star-centres")
-    moved = found_in(down, low, "u", "n").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return low.select("u", F.col("m").alias("v")).unionByName(moved)
+def _large_star(e: DataFrame, n: int) -> DataFrame:
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(tasks_for(n), "u")
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    up = _with_low(both.where(F.col("v") > F.col("u")), low, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return up.where(F.col("u") != F.col("v")).repartition(tasks_for(n), "u", "v").distinct()
+
+
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition(tasks_for(n), "u")
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_low(down, low, n).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return low.select("u", F.col("m").alias("v")).unionByName(moved).repartition(tasks_for(n), "u", "v").distinct()
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -39,9 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        large = stash(_large_star(e).where(F.col("u") != F.col("v")).distinct(), "links")
+        n = 2 * before[0]  # rows that meet in a star at most
+        large = stash(_large_star(e, n), "links", rows=n)
         forget(e)
-        e = stash(_small_star(large).distinct(), "links")
+        e = stash(_small_star(large, n), "links", rows=n)
         forget(large)
         after = _mark(e)
         if after == before:

@@ -114,11 +114,12 @@ def placed(groups: DataFrame, *keys: str, weights=WEIGHTS, max_epochs: int = MAX
     """``groups`` (source, size, order, copies, ...) with their source's numbers and ``start``: the words of their source before them."""
     host = F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     groups = stash(groups.withColumn("host", host), "mix")
-    ranges = 1 << max(4, math.ceil(math.log2(max(1, groups.count() / RANGE_DOCS))))
+    n = groups.count()
+    ranges = 1 << max(4, math.ceil(math.log2(max(1, n / RANGE_DOCS))))
     high = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     groups = groups.withColumn("range", F.floor(high * F.lit(ranges) / F.lit(1 << 32)).cast("long"))
     words = F.col("size") * F.col("copies")
-    parts = stash(groups.groupBy("host", "source", "range").agg(F.sum(words).alias("part")), "mix-ranges")
+    parts = stash(groups.groupBy("host", "source", "range").agg(F.sum(words).alias("part")), "mix-ranges", rows=n)
     src = source_targets(parts.select("source", F.col("part").alias("size")), weights, max_epochs)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for i in range(len(schedules)):
@@ -126,13 +127,13 @@ def placed(groups: DataFrame, *keys: str, weights=WEIGHTS, max_epochs: int = MAX
         src = src.withColumn(f"quota{i}", F.coalesce(F.sum(of).over(every), F.lit(0)))
     src = src.withColumn("host", host).drop("source")
     ranges_of = parts.groupBy("host").agg(F.count("*").alias("n_ranges"))
-    held = found_in(parts.select("host", "range"), stash(src.join(ranges_of, "host"), "mix-sources"), "host", "n_ranges")
+    held = found_in(parts.select("host", "range"), stash(src.join(ranges_of, "host"), "mix-sources", rows=n), "host", "n_ranges")
     based = held.join(running_base(parts, "range", "part", "base", ("host",)), ["host", "range"])
     order = ["order", "doc_id", "size", *keys]
     inside = Window.partitionBy("host", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = groups.withColumn("inner", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     return (
-        inner.join(stash(based, "mix-bases"), ["host", "range"])
+        inner.join(stash(based, "mix-bases", rows=n), ["host", "range"])
         .withColumn("start", F.col("base") + F.col("inner"))
         .drop("host", "range", "base", "inner")
     )

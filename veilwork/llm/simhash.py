@@ -169,9 +169,11 @@ def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
     roots = components(links(prints.select("fp"), radius))
     # a fingerprint without links is its own component and needs no join by root
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = stash(members.join(prints, members["node"] == prints["fp"]).select("fp", "root", "first"), "linked-prints")
-    heads = stash(members.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("n")), "component-heads")
-    headed = found_in(members, heads, "root", "n").select(F.col("fp").alias("node"), "head")
+    n = 2 * roots.count()
+    members = members.join(prints, members["node"] == prints["fp"]).select("fp", "root", "first")
+    members = stash(members, "linked-prints", rows=n)
+    heads = members.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("n"))
+    headed = found_in(members, stash(heads, "component-heads", rows=n), "root", "n", n).select(F.col("fp").alias("node"), "head")
     of_print = prints.join(headed, prints["fp"] == headed["node"], "left").select(
         "fp", "n_rows", F.coalesce("head", "first").alias("head")
     )
