@@ -35,7 +35,7 @@ MAGIC = b"VWTOK1"
 #: Characters of text that one shard gets, about; a shard is held in memory by its writer and reader.
 SHARD_CHARS = 6_000_000
 #: Characters of text in one range of doc_id, about, where there are many; a range is one task's.
-PART_CHARS = 192_000_000
+PART_CHARS = 64_000_000
 #: Characters encoded at a time, about.
 ENCODE_CHARS = 3_000_000
 #: A shard's number is its range's, shifted by so many bits, and its place in the range.
