@@ -172,13 +172,21 @@ def test_extracted_text(spark, folder):
     assert got["b.XLSX"].text.split("\n") == ["Name", "Mary Stone", "Email", "a@b.co", "SSN", "123-45-6789", "42", "1", "see 123 Main St.", "plain"]
 
 
-def test_pdf_pages_need_a_library(spark, folder):
-    if files.parser_available(".pdf"):
-        pytest.skip("a library is installed")
-    masked = redact.masked_files(spark, str(folder))
-    assert redact.page_images(masked).count() == 0
-    (row,) = [r for r in masked.collect() if r.file_id.endswith(".pdf")]
-    assert "PdfUnavailable" in row.error and row.content is None
+def test_pdf_files(spark, folder):
+    from veilwork.plans import archives
+
+    (folder / "own.pdf").write_bytes(archives.pdf([["Oscar Lindqvist, 987-65-4320"], ["page two"]], "Oscar"))
+    rows = {r.file_id.rsplit("/", 1)[1]: r for r in redact.redact_files(spark, f"{folder}/*.pdf", out_dir=f"{folder}/out")}
+    assert rows["own.pdf"].per_category == {"names": 1, "ssn": 1} and rows["own.pdf"].error is None
+    assert rows["c.pdf"].error and rows["c.pdf"].outputs == [] and not (folder / "out/c_REDACTED.pdf").exists()
+    units = files.read_units(files.binary_files(spark, f"{folder}/out"))
+    assert [r.text for r in units.orderBy("unit_ord").collect()] == [", ", "page two"]
+    assert redact.extract_text(spark, f"{folder}/own.pdf").first().text == "Oscar Lindqvist, 987-65-4320\npage two"
+    if not files.renderer_available():
+        row = redact.redact_file(spark, f"{folder}/own.pdf", out_dir=f"{folder}/out2", image_output=True)
+        assert "PdfUnavailable" in row.error and len(row.outputs) == 1
+        shots = redact.page_images(redact.masked_files(spark, f"{folder}/own.pdf")).collect()
+        assert len(shots) == 1 and "PdfUnavailable" in shots[0].error
 
 
 def test_command_line(spark, folder, capsys):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
@@ -115,3 +116,46 @@ def properties(files: DataFrame) -> DataFrame:
 def spoiled(files: DataFrame) -> DataFrame:
     """``files`` with every content cut short, so that none can be read."""
     return files.select("path", F.expr("substring(content, 1, 20)").alias("content"))
+
+
+def pdf(pages: list[list[str]], who: str = "") -> bytes:
+    """A PDF file of pages of lines, in a standard font; every second page is compressed, every third line shown in parts."""
+
+    def text(s: str) -> bytes:
+        return b"(" + s.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
+
+    def line(i: int, s: str) -> bytes:
+        return b"[" + text(s[:7]) + b" -20 " + text(s[7:]) + b"] TJ T*" if i % 3 == 2 else text(s) + b" Tj T*"
+
+    objects = [
+        b"<</Type /Catalog /Pages 2 0 R /Metadata 4 0 R>>",
+        b"<</Type /Pages /Count %d /Kids [%s] /Resources <</Font <</F1 3 0 R>>>>>>"
+        % (len(pages), b" ".join(b"%d 0 R" % (6 + 2 * i) for i in range(len(pages)))),
+        b"<</Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding>>",
+        b"<</Type /Metadata /Length %d>>\nstream\n%s\nendstream" % (len(who.encode()), who.encode()),
+        b"<</Author " + text(who) + b">>",
+    ]
+    for i, lines in enumerate(pages):
+        body = b"BT /F1 9 Tf 11 TL 40 800 Td\n" + b"\n".join(line(k, s) for k, s in enumerate(lines)) + b"\nET"
+        packed = zlib.compress(body) if i % 2 else body
+        objects.append(b"<</Type /Page /Parent 2 0 R /MediaBox [0 0 1200 842] /Contents %d 0 R>>" % (7 + 2 * i))
+        objects.append(b"<</Length %d%s>>\nstream\n%s\nendstream" % (len(packed), b" /Filter /FlateDecode" * (i % 2), packed))
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for n, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, o)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    out += b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Size %d /Root 1 0 R /Info 5 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (
+        len(objects) + 1, table, len(objects) + 1, len(out)
+    )
+    return bytes(out)
+
+
+def pdf_files(rows: DataFrame, lines: int) -> DataFrame:
+    """``(path, content)`` from ``(path, ord, text)``: a PDF file for each path, so many lines a page."""
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        texts, path = b.sort_values("ord")["text"].tolist(), b["path"].iloc[0]
+        return pd.DataFrame({"path": [path], "content": [pdf([texts[i : i + lines] for i in range(0, len(texts), lines)], path)]})
+
+    return rows.select("path", "ord", "text").groupBy("path").applyInPandas(one, "path string, content binary")

@@ -58,11 +58,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- detection ----------------------------------------------------------------------------------
 
 
+#: Results in closed form, independent of the patterns: the whole text is one span.
+WHOLE = {
+    "fax": "true",
+    "mrn": "o_orderkey >= 1000",
+    "licenses": "true",
+}
+
+
+def _whole_sql(key: str) -> str:
+    table, id_, text = SAMPLES[key]
+    return f"""select {id_} as key, 0 as span_start, cast(length({text}) as int) as span_end, '{key}' as category, {text} as span_text
+    from {table} where {WHOLE[key]}"""
+
+
 def _register_category(key: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return listed(units(spark, sf_dir, SAMPLES[key]), detect(F.col("text"), ScanOptions([key])))
 
-    query(f"detect_{key}", f"{oracle.resolved(units_sql(SAMPLES[key]), [key])} {LIST_SQL}")(run)
+    sql = _whole_sql(key) if key in WHOLE else f"{oracle.resolved(units_sql(SAMPLES[key]), [key])} {LIST_SQL}"
+    query(f"detect_{key}", sql)(run)
 
 
 for _key in CATEGORIES:
@@ -93,7 +108,7 @@ def spans_emails_offsets(spark, sf_dir):
 
 
 @query("detect_emails_by_lang", rf"""
-    select lang, cast(sum(len(regexp_extract_all(coalesce(text, ''), {oracle.quoted(CATEGORIES['emails'].patterns[0])}))) as bigint) as n
+    select lang, cast(sum(len(regexp_extract_all(coalesce(text, ''), '\b[[:alnum:]._%+-]+@[[:alnum:].-]+[.][[:alpha:]][[:alpha:]]+\b'))) as bigint) as n
     from documents group by lang""")
 def detect_emails_by_lang(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -407,6 +422,46 @@ def xlsx_counts(spark, sf_dir):
     return found.select(F.explode("per_category").alias("category", "n"))
 
 
+PAGE_LINES = 40
+_PDF = _FILE.replace(".docx", ".pdf")
+_PAGE_SQL = f"""
+l as (select key, {_PDF} as path, cast(floor((row_number() over (partition by {_PDF} order by key) - 1) / {PAGE_LINES}) as int) as page from t)"""
+
+
+def _pdf_files(spark, sf_dir):
+    """PDF files of the mixed texts, a text a line."""
+    rows = units(spark, sf_dir, MIXED).select(F.expr(_PDF).alias("path"), F.col("key").alias("ord"), "text")
+    return archives.pdf_files(rows, PAGE_LINES)
+
+
+@query("pdf_pages", f"""with t as ({units_sql(MIXED)}),{_PAGE_SQL}
+select path, page, string_agg(text, chr(10) order by key) as text from l join t using (key) group by path, page""")
+def pdf_pages(spark, sf_dir):
+    return read_units(_pdf_files(spark, sf_dir)).select(F.col("file_id").alias("path"), F.col("unit_ord").alias("page"), "text")
+
+
+@query("pdf_counts", f"""{oracle.resolved(units_sql(MIXED), _FILE_KEYS)} select {_PDF} as path, category, count(*) as n from r group by all""")
+def pdf_counts(spark, sf_dir):
+    found = redact.scan_found(_pdf_files(spark, sf_dir), ScanOptions(_FILE_KEYS))
+    return found.select("path", F.explode("per_category").alias("category", "n"))
+
+
+_GONE = oracle.masked(oracle.resolved(units_sql(MIXED), _FILE_KEYS), token="")
+
+
+@query("pdf_masked", f"""{_GONE.rpartition("select t.key, case")[0].rstrip()},
+k as (select t.key, case when h.key is null then text else head || substring(text, e + 1) end as kept from t left join h on h.key = t.key),{_PAGE_SQL}
+select replace(replace(path, '/in/', '/out/'), '.pdf', '_REDACTED.pdf') as path, page, string_agg(kept, chr(10) order by key) as text, false as informed
+from l join k using (key) group by path, page""")
+def pdf_masked(spark, sf_dir):
+    """Masked and read back: the found texts are gone from the pages, and so is what the file says about itself."""
+    done = redact.masked_found(_pdf_files(spark, sf_dir), ScanOptions(_FILE_KEYS), "/out").select(F.col("out").alias("path"), "content")
+    raw = F.decode("content", "ISO-8859-1")
+    informed = done.select(F.col("path").alias("file_id"), (raw.contains("/Author") | raw.contains("/Metadata")).alias("informed"))
+    pages = read_units(done).join(informed, "file_id")
+    return pages.select(F.col("file_id").alias("path"), F.col("unit_ord").alias("page"), "text", "informed")
+
+
 @query("properties_scrubbed", f"""
 select distinct replace(replace({_FILE}, '/in/', '/out/'), '.docx', '_REDACTED.docx') as path, '' as creator, '' as title, '' as editor, 'en' as language
 from ({units_sql(MIXED)}) union all select '/out/customer_REDACTED.xlsx', '', '', '', 'en'""")

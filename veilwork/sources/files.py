@@ -20,10 +20,13 @@ CELLS = "file_id string, sheet string, row_no int, col_no int, vtype string, val
 
 
 def parser_available(extension: str) -> bool:
-    """Whether files of this kind can be read here."""
-    if extension != ".pdf":
-        return extension in (".docx", ".xlsx")
-    return any(importlib.util.find_spec(m) is not None for m in ("fitz", "pypdf"))
+    """Whether files of this kind can be read here: PDF files by a library, or plain ones without."""
+    return extension in (".docx", ".xlsx", ".pdf")
+
+
+def renderer_available() -> bool:
+    """Whether PDF pages can be drawn here."""
+    return importlib.util.find_spec("fitz") is not None
 
 
 def units_of(path: str, raw: bytes) -> list[tuple[str, list[str] | None, str]]:

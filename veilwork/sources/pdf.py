@@ -1,10 +1,12 @@
-"""PDF pages, where a library that can read and rewrite them is installed; none is required."""
+"""PDF pages, by a library that can read and rewrite them where one is installed, else plain files by ``pdf_native``."""
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
 
+from . import pdf_native
+
 # fixed values
 RENDER_DPI, JPEG_QUALITY = 150, 90
 
@@ -17,7 +19,7 @@ def _fitz():
     try:
         import fitz
     except ImportError:
-        raise PdfUnavailable("masking and rendering .pdf files needs PyMuPDF, which isn't installed") from None
+        raise PdfUnavailable("rendering .pdf files needs PyMuPDF, which isn't installed") from None
     return fitz
 
 
@@ -29,7 +31,7 @@ def page_texts(raw: bytes) -> list[str]:
         try:
             from pypdf import PdfReader
         except ImportError:
-            raise PdfUnavailable("reading .pdf files needs PyMuPDF or pypdf; neither is installed") from None
+            return pdf_native.page_texts(raw)
         return [page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages]
     with fitz.open(stream=raw, filetype="pdf") as doc:
         return [page.get_text() for page in doc]
@@ -41,7 +43,10 @@ def masked(raw: bytes, needles: dict[int, list[str]]) -> bytes:
     A text that isn't found in one piece, say over a line's end, is removed word by word:
     that may take more than was meant, never less.
     """
-    fitz = _fitz()
+    try:
+        fitz = _fitz()
+    except PdfUnavailable:
+        return pdf_native.masked(raw, needles)
     with fitz.open(stream=raw, filetype="pdf") as doc:
         for number, page in enumerate(doc):
             boxes = []
