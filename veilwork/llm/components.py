@@ -11,6 +11,11 @@ from .common import forget, found_in, stash, tasks_for
 MAX_ROUNDS = 60
 
 
+def _together(rows: DataFrame, n: int) -> DataFrame:
+    """Few rows in one task; many stay where they are, as dealing them by key would pile up a hub's."""
+    return rows.repartition(1) if tasks_for(n) == 1 else rows
+
+
 def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
     """``rows`` with their centre's smallest neighbour ``m``. A hub's rows stay where they are, unless all rows are one task's."""
     if tasks_for(n) == 1:
@@ -19,17 +24,18 @@ def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
 
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(tasks_for(n), "u")
+    both = _together(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), n)
     low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
     up = _with_low(both.where(F.col("v") > F.col("u")), low, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return up.where(F.col("u") != F.col("v")).repartition(tasks_for(n), "u", "v").distinct()
+    return up.where(F.col("u") != F.col("v")).distinct()
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition(tasks_for(n), "u")
+    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    down = _together(down, n)
     low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     moved = _with_low(down, low, n).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return low.select("u", F.col("m").alias("v")).unionByName(moved).repartition(tasks_for(n), "u", "v").distinct()
+    return _together(low.select("u", F.col("m").alias("v")).unionByName(moved), n).distinct()
 
 
 def _mark(e: DataFrame) -> tuple:
