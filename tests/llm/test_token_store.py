@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from veilwork.llm import token_store as ts
 from veilwork.llm.common import running_base
+from veilwork.llm.piece_store import PieceTable
 from veilwork.llm.queries import tokenizer_file
 
 from .conftest import ROWS, sorted_rows
@@ -43,6 +44,37 @@ def test_encoder_equals_the_library(texts):
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_a_long_text_takes_bounded_memory_beside_its_pieces():
+    import tracemalloc
+
+    text = " ".join(f"w{i % 5000}" for i in range(500_000))
+    enc = ts.PieceEncoder(PATH)
+    enc(pa.array(["w0 and w1"]))
+    tracemalloc.start()
+    ids, sizes = enc(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == library().encode(text, add_special_tokens=False).ids
+    assert peak < 40 * len(text)  # 66 before stretches
+
+
+def test_stretches_equal_the_library(monkeypatch):
+    monkeypatch.setattr(ts, "STRETCH_BYTES", 50)
+    texts = ["ab cd ab " * 90 + "x" * 700 + " ab" * 40, "", "é1 " * 60 + "y" * 49, "z" * 400, " "]
+    for t in (texts, [""], []):
+        ids, sizes = ts.PieceEncoder(PATH)(pa.array(t, pa.string()))
+        expected = [library().encode(x, add_special_tokens=False).ids for x in t]
+        assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_a_small_table_takes_many_pieces_at_once():
+    keys = np.random.default_rng(3).integers(1, 1 << 63, (2, 5000), dtype=np.uint64)
+    table = PieceTable(4)
+    for a, z in ((0, 3), (3, 4000), (4000, 5000)):
+        table.put(keys[0, a:z], keys[1, a:z], np.arange(a, z))
+    assert table.find(*keys).tolist() == list(range(5000)) and 2 * table.count <= table.mask + 1
+
+
 def brute(rows):
     tok, out, start = library(), [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):

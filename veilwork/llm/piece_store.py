@@ -112,6 +112,6 @@ class PieceTable:
         used = np.flatnonzero(self.a)
         held = self.a[used], self.b[used], self.number[used]
         count = self.count
-        self.__init__(int(self.mask).bit_length() + 1)
+        self.__init__((2 * count).bit_length())  # many may come at once
         self.put(*held)
         self.count = count

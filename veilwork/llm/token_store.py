@@ -46,6 +46,10 @@ CACHE_PIECES = 1_000_000
 CACHE_IDS = 16_000_000
 #: Longer pieces (bytes) aren't remembered.
 LONG_PIECE = 128
+#: Bytes of text whose pieces are looked up at a time, about; that takes some 100 bytes of memory for each of them.
+STRETCH_BYTES = 1 << 18
+#: Bits of the table of pieces when it is empty; it grows as pieces come.
+TABLE_BITS = 16
 #: Pieces given to the library as one text.
 GROUP_PIECES = 200
 SAMPLE = 256
@@ -227,7 +231,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.store = PieceTable(), PieceStore()
+        self.table, self.store = PieceTable(TABLE_BITS), PieceStore()
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -260,23 +264,33 @@ class PieceEncoder:
         cut[begins] = True
         start = np.flatnonzero(cut)
         size = np.diff(np.append(start, len(raw)))
-        short = size <= LONG_PIECE
-        a, b = slice_hashes(raw, start, size)
-        slots = np.where(short, self.table.find(a, b), -1)
-        new = np.flatnonzero(slots < 0)
-        kept = new[short[new]]
+        firsts = [0]
+        while firsts[-1] < len(start):
+            firsts.append(int(np.searchsorted(start, start[firsts[-1]] + STRETCH_BYTES)))
+        got = [self._pieces(raw, start[a:z], size[a:z]) for a, z in zip(firsts, firsts[1:])]
+        if not got:
+            return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, np.int64)
+        ids, sizes = (np.concatenate(x) for x in zip(*got))
+        return ids, per_text(sizes, np.diff(np.searchsorted(start, edges)))
+
+    def _pieces(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these slices of ``raw``, which start within ``STRETCH_BYTES``, and how many each has."""
+        low, short = int(start[0]), np.flatnonzero(size <= LONG_PIECE)
+        a, b = slice_hashes(raw[low : low + STRETCH_BYTES + LONG_PIECE], start[short] - low, size[short])
+        slots = np.full(len(start), -1, np.int64)
+        slots[short] = found = self.table.find(a, b)
+        kept = np.flatnonzero(found < 0)
         if len(kept):
             first, inverse = np.unique(a[kept], return_index=True, return_inverse=True)[1:]
             rows = kept[first]
             same = b[kept] == b[rows][inverse]
-            got = self._put(raw, start[rows], size[rows])
+            got = self._put(raw, start[short[rows]], size[short[rows]])
             self.table.put(a[rows], b[rows], got)
-            slots[kept[same]] = got[inverse[same]]
-            new = np.flatnonzero(slots < 0)
+            slots[short[kept[same]]] = got[inverse[same]]
+        new = np.flatnonzero(slots < 0)
         if len(new):
             slots[new] = self._put(raw, start[new], size[new])
-        ids, sizes = self.store.gather(slots)
-        return ids, per_text(sizes, np.diff(np.searchsorted(start, edges)))
+        return self.store.gather(slots)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -350,13 +364,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         enc, part, no = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        keys: list[pa.Array] = []
+        keys: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
 
         def shard() -> pa.RecordBatch:
             out, bounds = with_end(np.concatenate(ids), np.concatenate(sizes), end_id)
-            key = pa.concat_arrays(keys)
-            raw = pack_shard(key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), out, bounds)
-            for held in (ids, sizes, keys):
+            raw = pack_shard(np.concatenate(keys), np.concatenate(nulls), out, bounds)
+            for held in (ids, sizes, keys, nulls):
                 held.clear()
             row = {"shard": [part << SHARD_BITS | no], "n_ids": [len(out)], "data": [raw]}
             return pa.RecordBatch.from_pydict(row, schema=SHARD_ROW)
@@ -369,7 +383,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 got, n = enc(text.slice(a, z - a))
                 ids.append(got)
                 sizes.append(n)
-                keys.append(doc_id.slice(a, z - a))
+                key = doc_id.slice(a, z - a)
+                keys.append(key.fill_null(0).to_numpy().copy())  # a view would hold the whole batch
+                nulls.append(key.is_null().to_numpy(zero_copy_only=False))
                 chars += int(length[a:z].sum())
                 if chars >= shard_chars:
                     yield shard()
