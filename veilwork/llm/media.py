@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
-from .common import shared_path
+from .common import blocks, shared_path
 
 WIDTH = 64
 ROW = 3 * WIDTH
@@ -55,14 +55,27 @@ def all_tools(n_pixels: int) -> dict:
 
 def to_webp(payload: bytes, every: int = EVERY) -> bytes:
     """One file, or several in a row where one can't be so high."""
-    rgb = np.frombuffer(payload, np.uint8).reshape(-1, 3)
-    ch = np.empty((len(rgb), 4), dtype=np.uint8)
-    ch[:, :3] = rgb[:, ::-1]
-    ch[:, 3] = 255
-    px, step = webp.pixels(ch), WIDTH * webp.MAX_SIDE
-    parts = [px[a : a + step] for a in range(0, len(px), step)]
-    full = zlib.crc32(payload) % every == 0
-    return b"".join(webp.encode(x, WIDTH, **all_tools(len(x))) if full else webp.encode_best(x, WIDTH) for x in parts)
+    return to_webps([payload], every)[0]
+
+
+def to_webps(payloads: list[bytes], every: int = EVERY) -> list[bytes]:
+    out: list[list[bytes]] = [[] for _ in payloads]
+    images, of, step = [], [], WIDTH * webp.MAX_SIDE
+    for k, payload in enumerate(payloads):
+        rgb = np.frombuffer(payload, np.uint8).reshape(-1, 3)
+        ch = np.empty((len(rgb), 4), dtype=np.uint8)
+        ch[:, :3] = rgb[:, ::-1]
+        ch[:, 3] = 255
+        px = webp.pixels(ch)
+        parts = [px[a : a + step] for a in range(0, len(px), step)]
+        if zlib.crc32(payload) % every == 0:
+            out[k] = [webp.encode(x, WIDTH, **all_tools(len(x))) for x in parts]
+        else:
+            images += parts
+            of += [k] * len(parts)
+    for k, raw in zip(of, webp.encode_each(images, WIDTH)):
+        out[k].append(raw)
+    return [b"".join(x) for x in out]
 
 
 def from_webp(media: bytes) -> np.ndarray:
@@ -89,8 +102,10 @@ def store(docs: DataFrame, path: str) -> None:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = [t.encode() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(r) for r in raw], "media": [to_webp(padded(r)) for r in raw]})
+            texts = b["text"].tolist()
+            for part in blocks(texts):
+                raw = [t.encode() for t in texts[part]]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part], "n_bytes": [len(r) for r in raw], "media": to_webps([padded(r) for r in raw])})
 
     docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
         each, "doc_id long, n_bytes long, media binary"

@@ -1,9 +1,9 @@
 """Lossless WebP: a decoder for the whole format, and an encoder.
 
-Pixels are ARGB in ``uint32``, in rows. Images with one set of prefix codes and no
-colour cache are decoded without a step per symbol: the pixel that would start at each
+Pixels are ARGB in ``uint32``, in rows. Images with one set of prefix codes are decoded without a step per symbol: the pixel that would start at each
 bit of a stretch of the stream is looked up for all bits at once, and the true starts
-are then followed from one to the next. Other images (and the small ones inside, which
+are then followed from one to the next; what a colour cache gives is found afterwards, for
+all pixels at once. Other images (and the small ones inside, which
 hold palettes and the blocks of transforms) go symbol by symbol.
 """
 
@@ -67,6 +67,7 @@ class Codes:
 
     def __init__(self, r: Reader, cache_bits: int):
         extra = 1 << cache_bits if cache_bits else 0
+        self.cache_bits = cache_bits
         self.lengths: list[np.ndarray] = []
         self.tables: list[tuple[np.ndarray, int]] = []
         self.same = [-1] * 5  # an earlier code that this one is a copy of
@@ -104,8 +105,12 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         group_of = ((entropy >> 8) & 0xFFFF).astype(np.int64)
         n_groups = int(group_of.max()) + 1
     groups = [Codes(r, cache_bits) for _ in range(n_groups)]
-    if n_groups == 1 and not cache_bits and width * height > 64:
-        return _read_stretches(r, width, width * height, groups[0])
+    if n_groups == 1 and width * height > 64:
+        begun = r.at
+        px = _read_stretches(r, width, width * height, groups[0])
+        if px is not None:
+            return px
+        r.at = begun
     return _read_symbols(r, width, width * height, groups, group_of, group_bits, cache_bits)
 
 
@@ -182,16 +187,19 @@ def _copy(out: list[int], length: int, distance: int, total: int) -> None:
 def _windows(raw: np.ndarray, start: int, bits: int) -> np.ndarray:
     """The 15 bits from each of ``bits`` places on, from byte ``start`` of ``raw`` (padded)."""
     n = bits // 8
-    b = raw[start : start + n + 2].astype(np.uint32)
-    three = b[:n] | b[1 : n + 1] << np.uint32(8) | b[2 : n + 2] << np.uint32(16)
-    return ((three[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).ravel()
+    b = raw[start : start + n + 2].astype(np.intp)
+    three = b[:n] | b[1 : n + 1] << 8 | b[2 : n + 2] << 16
+    return ((three[:, None] >> np.arange(8)) & 0x7FFF).ravel()
 
 
-def _read_stretches(r: Reader, width: int, total: int, codes: Codes) -> np.ndarray:
+def _read_stretches(r: Reader, width: int, total: int, codes: Codes) -> np.ndarray | None:
+    """None: a place of the colour cache is read that holds nothing yet."""
     raw = np.frombuffer(r.raw, np.uint8)
     out = np.empty((total, 4), dtype=np.uint8)
     done = 0
-    lone_alpha = codes.tables[3][1] == 0
+    lone_alpha, cache_bits = codes.tables[3][1] == 0, codes.cache_bits
+    if cache_bits:
+        slots = np.full(total, -1, dtype=np.int64)  # of the cache, for pixels taken from there
     jumps: list[tuple[int, int, int]] = []  # copies: at, length, distance
     while done < total:
         base = r.at >> 3
@@ -205,26 +213,31 @@ def _read_stretches(r: Reader, width: int, total: int, codes: Codes) -> np.ndarr
         e = []
         for k in range(3):
             table, n = codes.tables[k]
-            e.append(e[codes.same[k]] if codes.same[k] >= 0 else table[w & np.uint32((1 << n) - 1)])
+            e.append(e[codes.same[k]] if codes.same[k] >= 0 else table.astype(np.intp).take(w & ((1 << n) - 1)))
         size = []
         for k, x in enumerate(e):
             size.append(size[codes.same[k]] if codes.same[k] >= 0 else x & 15)
         limit = bits - 64
-        at = np.arange(limit, dtype=np.int32)
+        at = np.arange(limit)
         red_at = at + size[0][:limit]
-        blue_at = red_at + size[1][red_at]
-        after = blue_at + size[2][blue_at]
+        blue_at = red_at + size[1].take(red_at)
+        after = blue_at + size[2].take(blue_at)
         if lone_alpha:
             alpha_at = None
         else:
             table, n = codes.tables[3]
-            alpha = table[w & np.uint32((1 << n) - 1)]
+            alpha = table[w & ((1 << n) - 1)]
             alpha_at, after = after, after + (alpha & 15)[after]
         last_bit = want - 64 if want == STRETCH else limit
         after[last_bit:] = 0
         if codes.lengths[0][256:].any():
-            after[(e[0][:limit] >> 4) >= 256] = 0
-        follow, p = memoryview(np.ascontiguousarray(after, dtype=np.int32)), r.at - 8 * base
+            symbol = e[0][:limit] >> 4
+            if cache_bits:
+                after = np.where(symbol >= 256 + N_LENGTHS, red_at, after)
+                after[last_bit:] = 0
+                symbol = np.where(symbol >= 256 + N_LENGTHS, 0, symbol)
+            after[symbol >= 256] = 0
+        follow, p = memoryview(after), r.at - 8 * base
         starts: list[int] = []
         take, first = starts.append, done
         green = codes.tables[0]
@@ -256,23 +269,54 @@ def _read_stretches(r: Reader, width: int, total: int, codes: Codes) -> np.ndarr
         if starts:
             s = np.array(starts, dtype=np.int64)
             got = np.empty((len(s), 4), dtype=np.uint8)
-            got[:, 1] = e[0][s] >> 4
+            symbols = e[0][s] >> 4
+            got[:, 1] = symbols & 255
             got[:, 2] = e[1][red_at[s]] >> 4
             got[:, 0] = e[2][blue_at[s]] >> 4
             got[:, 3] = int(codes.tables[3][0][0]) >> 4 if alpha_at is None else alpha[alpha_at[s]] >> 4
             k = 0
             for a, n in spans:
                 out[a : a + n] = got[k : k + n]
+                if cache_bits:
+                    slots[a : a + n] = symbols[k : k + n] - (256 + N_LENGTHS)
                 k += n
         if r.at > 8 * len(raw) and done < total:
             raise ValueError("the stream ends early")
+    if cache_bits:
+        return _from_cache(pixels(out), slots, jumps, cache_bits)
+    _repeat(out, jumps)
+    return pixels(out)
+
+
+def _repeat(out: np.ndarray, jumps: list[tuple[int, int, int]]) -> None:
     for a, length, distance in jumps:  # in order, so that copies of copies hold
         if distance >= length:
             out[a : a + length] = out[a - distance : a - distance + length]
         else:
-            reps = -(-length // distance)
-            out[a : a + length] = np.tile(out[a - distance : a], (reps, 1))[:length]
-    return pixels(out)
+            piece = out[a - distance : a]
+            out[a : a + length] = np.concatenate([piece] * -(-length // distance))[:length]
+
+
+def _from_cache(px: np.ndarray, slots: np.ndarray, jumps: list[tuple[int, int, int]], bits: int) -> np.ndarray | None:
+    """Each pixel is a literal, a copy of an earlier one, or (with a slot of 0 and up) the last one before it in that
+    slot, which is a literal, a copy or such a one itself; all are followed back to literals together."""
+    of = np.arange(len(px))
+    _repeat(of, jumps)
+    slot = np.where(slots >= 0, slots, (px * np.uint32(CACHE_MUL)) >> np.uint32(32 - bits)).astype(np.uint16)[of]
+    order = np.argsort(slot, kind="stable")
+    s = slot[order]
+    before = np.full(len(px), -1, dtype=np.int64)
+    same = s[1:] == s[:-1]
+    before[order[1:][same]] = order[:-1][same]
+    taken = np.flatnonzero((slots >= 0) & (of == np.arange(len(px))))
+    if (before[taken] < 0).any():
+        return None
+    of[taken] = before[taken]
+    while True:
+        back = of[of]
+        if np.array_equal(back, of):
+            return px[of]
+        of = back
 
 
 # ---- decoding: transforms --------------------------------------------------------------------------
@@ -284,36 +328,41 @@ def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def predictions(mode: np.ndarray, left, top, right, corner) -> np.ndarray:
     """Predicted channels (int16, one row a pixel) for each pixel's mode; ``right``: above to the right, ``corner``: above to the left."""
-    full = np.clip(left + top - corner, 0, 255)
-    half = _average(left, top)
-    half = np.clip(half + _toward_zero(half - corner), 0, 255)
-    take_left = np.abs(top - corner).sum(axis=1) < np.abs(left - corner).sum(axis=1)
-    select = np.where(take_left[:, None], left, top)
-    black = np.zeros_like(left)
-    black[:, 3] = 255
-    every = [
-        black,
-        left,
-        top,
-        right,
-        corner,
-        _average(_average(left, right), top),
-        _average(left, corner),
-        _average(left, top),
-        _average(corner, top),
-        _average(top, right),
-        _average(_average(left, corner), _average(top, right)),
-        select,
-        full,
-        half,
-    ]
     out = np.empty_like(left)
-    for m in np.unique(mode).tolist():
-        hit = mode == m
-        out[hit] = every[m][hit] if m < len(every) else black[hit]
+    for m in set(mode.tolist()):
+        hit = np.flatnonzero(mode == m)
+        out[hit] = _prediction(m, left[hit], top[hit], right[hit], corner[hit])
     return out
 
 
+def _prediction(m: int, left, top, right, corner) -> np.ndarray:
+    if 1 <= m <= 4:
+        return (left, top, right, corner)[m - 1]
+    if m == 5:
+        return _average(_average(left, right), top)
+    if m == 6:
+        return _average(left, corner)
+    if m == 7:
+        return _average(left, top)
+    if m == 8:
+        return _average(corner, top)
+    if m == 9:
+        return _average(top, right)
+    if m == 10:
+        return _average(_average(left, corner), _average(top, right))
+    if m == 11:
+        take_left = np.abs(top - corner).sum(axis=1) < np.abs(left - corner).sum(axis=1)
+        return np.where(take_left[:, None], left, top)
+    if m == 12:
+        return np.minimum(np.maximum(left + top - corner, 0), 255)
+    if m == 13:
+        half = _average(left, top)
+        return np.minimum(np.maximum(half + _toward_zero(half - corner), 0), 255)
+    black = np.zeros_like(left)
+    black[:, 3] = 255
+    return black
+
+
 def _toward_zero(x: np.ndarray) -> np.ndarray:
     """Half of x, rounded toward zero."""
     return np.where(x < 0, -((-x) >> 1), x >> 1)
@@ -349,9 +398,12 @@ def _delta(t: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def cross_colour(px: np.ndarray, width: int, height: int, bits: int, block: np.ndarray, undo: bool) -> np.ndarray:
-    across = blocks_of(width, bits)
     y, x = np.divmod(np.arange(width * height), width)
-    t = channels(block)[(y >> bits) * across + (x >> bits)]
+    return _crossed(px, channels(block)[(y >> bits) * blocks_of(width, bits) + (x >> bits)], undo)
+
+
+def _crossed(px: np.ndarray, t: np.ndarray, undo: bool) -> np.ndarray:
+    """``t``: multipliers of each pixel."""
     green_to_red, green_to_blue, red_to_blue = t[:, 0], t[:, 1], t[:, 2]
     ch = channels(px).astype(np.int32)
     sign = 1 if undo else -1
@@ -454,6 +506,16 @@ def find_copies(px: np.ndarray, least: int = MIN_COPY) -> list[tuple[int, int, i
     return out
 
 
+_LAST: list = [None, []]
+
+
+def copies_of(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """``find_copies``, kept for the last pixels: files of one image that are compared share them."""
+    if _LAST[0] is not px:
+        _LAST[:] = px, find_copies(px)
+    return _LAST[1]
+
+
 def _write_shared(w: Writer, px: np.ndarray, width: int, found: list[tuple[int, int, int]]) -> None:
     """Literals and copies where one code serves red and blue, and green too if there are no copies."""
     ch = channels(px)
@@ -532,7 +594,7 @@ def write_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits:
             turn = np.arange(across * down) % 2
             write_pixels(w, (turn << 8).astype(np.uint32), across, False)
             group_of = turn[(y >> groups) * across + (x >> groups)]
-    found = find_copies(px) if copies else []
+    found = copies_of(px) if copies else []
     if not (cache_bits or groups):
         _write_shared(w, px, width, found)
         return
@@ -574,11 +636,12 @@ def write_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits:
         ]
         # samples of one kind fill the three channels, so they share a code
         pooled = counts[0].copy()
-        pooled[:256] += counts[1] + counts[2]
-        shared = code_lengths(pooled)
-        rest = shared[:256] if not pooled[256:].any() else code_lengths(counts[1] + counts[2])
         if pooled[256:].any():
-            shared = code_lengths(counts[0])
+            shared, rest = code_lengths(pooled), code_lengths(counts[1] + counts[2])
+        else:
+            pooled[:256] += counts[1] + counts[2]
+            shared = code_lengths(pooled)
+            rest = shared[:256]
         lengths = [shared, rest, rest, code_lengths(counts[3]), code_lengths(counts[4])]
         for x in lengths:
             write_code(w, x)
@@ -674,7 +737,7 @@ PLAN_BITS = 4
 #: Multipliers (32: one) and sizes of the colour cache that are compared.
 PLAN_MULTIPLIERS = (0, 8, 16, 32, -8, -16, -32)
 PLAN_CACHES = (4, 7, 10)
-#: Rows of pixels looked at together: bounds memory.
+#: Rows of pixels looked at together, of one image or several: bounds memory.
 PLAN_ROWS = 512
 #: Bits, about, that a symbol takes in a code's header, one of a cache's few used places, a block's pixel, and a transform.
 SYMBOL_COST, CACHE_COST, BLOCK_COST, TRANSFORM_COST = 4, 12, 3, 250
@@ -696,17 +759,19 @@ def entropy(counts: np.ndarray) -> np.ndarray:
     return n * np.log2(np.maximum(n, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=-1)
 
 
-def cost_of(samples: np.ndarray) -> float:
-    """Bits that these samples and the header of their code take, about."""
-    counts = np.bincount(samples.ravel(), minlength=256)
-    return float(entropy(counts)) + SYMBOL_COST * np.count_nonzero(counts)
+def costs(samples: np.ndarray, image: np.ndarray, n: int) -> np.ndarray:
+    """Bits that the samples (one row a pixel) of each of ``n`` images and the header of their code take, about."""
+    counts = np.bincount(((image << 8)[:, None] + samples).ravel(), minlength=n << 8).reshape(n, 256)
+    return entropy(counts) + SYMBOL_COST * np.count_nonzero(counts, axis=1)
 
 
 def least(choices: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
     """Which of the choices (first axis: their samples of each pixel) takes the fewest bits in each of the ``n`` blocks."""
-    k = len(choices)
-    at = ((np.arange(k, dtype=np.int64)[:, None] * n + block) << 8)[:, :, None] + choices
-    return entropy(np.bincount(at.ravel(), minlength=k * n << 8).reshape(k, n, 256)).argmin(axis=0)
+    at, out = (block << 8)[:, None], np.empty((len(choices), n))
+    for x, y in zip(choices, out):
+        counts = np.bincount((at + x).ravel(), minlength=n << 8)
+        np.add.reduce(XLOGX.take(counts, mode="clip").reshape(n, 256), axis=-1, out=y)
+    return out.argmax(axis=0)  # a block has as many samples by each choice
 
 
 def residuals(ch: np.ndarray, width: int) -> np.ndarray:
@@ -728,21 +793,38 @@ def residuals(ch: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def plan_predictors(px: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block image with the predictor that leaves the least in each block, and what they leave."""
-    rows, across = len(px) // width, blocks_of(width, PLAN_BITS)
+def stretches(heights: list[int], width: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """Rows from and to, the block of each of their pixels, and how many blocks: images one below the other, some at
+    a time, or a part of a high one."""
+    at, held, blocks, n = 0, 0, [], 0
+    for h in heights:
+        for a in range(0, h, PLAN_ROWS):
+            rows = min(PLAN_ROWS, h - a)
+            if held and held + rows > PLAN_ROWS:
+                yield at, at + held, np.concatenate(blocks), n
+                at, held, blocks, n = at + held, 0, [], 0
+            blocks.append(plan_blocks(width, rows) + n)
+            n += blocks_of(width, PLAN_BITS) * blocks_of(rows, PLAN_BITS)
+            held += rows
+    yield at, at + held, np.concatenate(blocks), n
+
+
+def plan_predictors(px: np.ndarray, width: int, heights: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The block images with the predictor that leaves the least in each block, and what they leave."""
+    heights = heights or [len(px) // width]
+    top = np.zeros(len(px) // width, dtype=bool)
+    top[np.cumsum([0, *heights[:-1]])] = True
     modes, rest = [], []
-    for a in range(0, rows, PLAN_ROWS):
-        z, above = min(rows, a + PLAN_ROWS), min(a, 1)  # with the row above
+    for a, z, block, n in stretches(heights, width):
+        above = min(a, 1)  # with the row above
         ch = channels(px[(a - above) * width : z * width])[:, :3].astype(np.int16)
-        left, block = residuals(ch, width)[:, above * width :], plan_blocks(width, z - a)
-        start = 0 if a else width  # the first row and column have fixed predictors
-        got = least(left[:, start:], block[start:], across * blocks_of(z - a, PLAN_BITS))
+        left = residuals(ch, width)[:, above * width :]
+        fixed = np.repeat(top[a:z], width)  # the first row and column have fixed predictors
+        got = least(left, np.where(fixed, n, block), n + 1)[:n]  # those pixels are a block of their own
         mode = got[block]
         mode[::width] = 2
-        if not a:
-            mode[:width] = 1
-            mode[0] = 0
+        mode[fixed] = 1
+        mode[np.flatnonzero(top[a:z]) * width] = 0
         out = np.zeros((len(mode), 4), dtype=np.uint8)
         out[:, :3] = left[mode, np.arange(len(mode))]
         modes.append(got)
@@ -750,15 +832,13 @@ def plan_predictors(px: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.uint32(OPAQUE) | np.concatenate(modes).astype(np.uint32) << np.uint32(8), np.concatenate(rest)
 
 
-def plan_cross(px: np.ndarray, width: int) -> np.ndarray:
-    """The block image with the colour multipliers that leave the least in each block."""
-    rows, across = len(px) // width, blocks_of(width, PLAN_BITS)
+def plan_cross(px: np.ndarray, width: int, heights: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The block images with the colour multipliers that leave the least in each block, and what they leave."""
     tried = np.array(PLAN_MULTIPLIERS, dtype=np.int8).view(np.uint8)[:, None]
-    chosen = []
-    for a in range(0, rows, PLAN_ROWS):
-        z = min(rows, a + PLAN_ROWS)
-        ch = channels(px[a * width : z * width])
-        block, n = plan_blocks(width, z - a), across * blocks_of(z - a, PLAN_BITS)
+    chosen, rest = [], []
+    for a, z, block, n in stretches(heights, width):
+        part = px[a * width : z * width]
+        ch = channels(part)
         by_green, by_red = (_delta(tried, ch[:, k]).astype(np.uint8) for k in (1, 2))
         to_red, to_blue = (least((ch[:, k] - by_green)[:, :, None], block, n) for k in (2, 0))
         blue = ch[:, 0] - by_green[to_blue[block], np.arange(len(block))]
@@ -767,53 +847,102 @@ def plan_cross(px: np.ndarray, width: int) -> np.ndarray:
         for k, got in enumerate((to_red, to_blue, by_red)):
             out[:, k] = tried[got, 0]
         chosen.append(pixels(out))
-    return np.concatenate(chosen)
+        rest.append(_crossed(part, out[block], False))
+    return np.concatenate(chosen), np.concatenate(rest)
 
 
 def plan(px: np.ndarray, width: int) -> dict:
-    """Options of ``encode`` by which this opaque image takes the fewest bits, about: predictors or none, then subtracted
-    green, cross-colour or none, then a colour cache, two sets of codes or none of them. Each choice is made after those before it."""
-    height = len(px) // width
-    n_blocks = blocks_of(width, PLAN_BITS) * blocks_of(height, PLAN_BITS)
+    """Options of ``encode`` by which this opaque image takes the fewest bits, about."""
+    return plans([px], width)[0]
+
+
+def plans(images: list[np.ndarray], width: int) -> list[dict]:
+    """Of each of some opaque images (64 at most): predictors or none, then subtracted green, cross-colour or none, then a
+    colour cache, two sets of codes or none of them. Each choice is made after those before it, for all images at once."""
+    k, heights, px = len(images), [len(x) // width for x in images], np.concatenate(images)
+    image = np.repeat(np.arange(k), [len(x) for x in images])
+    n_blocks = np.array([blocks_of(width, PLAN_BITS) * blocks_of(h, PLAN_BITS) for h in heights])
+    ends = np.cumsum(n_blocks).tolist()
     extra = TRANSFORM_COST + BLOCK_COST * n_blocks
-    block, rest = plan_predictors(px, width)
-    tried = [(cost_of(channels(px)[:, :3]), (), px)]
-    tried.append((cost_of(channels(rest)[:, :3]) + extra, ((PREDICTOR, PLAN_BITS, block),), rest))
-    for _, first, x in tried[:2]:
-        g = green(x, -1)
-        before = extra if first else 0
-        tried.append((cost_of(channels(g)[:, :3]) + before + 8, (*first, (GREEN,)), g))
-    _, first, x = min(tried[:2], key=lambda t: t[0])
-    m = plan_cross(x, width)
-    if (m != OPAQUE).any():
-        g = cross_colour(x, width, height, PLAN_BITS, m, False)
-        tried.append((cost_of(channels(g)[:, :3]) + extra + (extra if first else 0), (*first, (CROSS, PLAN_BITS, m)), g))
-    whole, transforms, x = min(tried, key=lambda t: t[0])
-    ch, n = channels(x), len(x)
-    saved, coding = 0.0, {}
-    pooled = cost_of(ch[:, :3])
+
+    def cost(x: np.ndarray) -> np.ndarray:
+        return costs(channels(x)[:, :3], image, k)
+
+    block, rest = plan_predictors(px, width, heights)
+    left = [px, rest, green(px, -1), green(rest, -1)]
+    bare = [cost(x) for x in left]
+    tried = [bare[0], bare[1] + extra, bare[2] + 8, bare[3] + extra + 8]
+    first = tried[1] < tried[0]
+    m, crossed = plan_cross(np.where(first[image], rest, px), width, heights)
+    some = np.add.reduceat(m != OPAQUE, [0, *ends[:-1]]) > 0
+    left.append(crossed)
+    bare.append(cost(crossed))
+    tried.append(np.where(some, bare[4] + extra + np.where(first, extra, 0), np.inf))
+    choice = np.argmin(tried, axis=0)
+    x = px
+    for c in set(choice.tolist()) - {0}:
+        x = np.where((choice == c)[image], left[c], x)
+    pooled = np.array(bare)[choice, np.arange(k)]
+    ch, saved, bits_of = channels(x), np.zeros(k), [0] * k
     for bits in PLAN_CACHES:
-        slot = ((x * np.uint32(CACHE_MUL)) >> np.uint32(32 - bits)).astype(np.uint16)
+        slot = (image << bits | (x * np.uint32(CACHE_MUL)) >> np.uint32(32 - bits)).astype(np.uint16 if k << bits <= 1 << 16 else np.int64)
         order = np.argsort(slot, kind="stable")
         s, p = slot[order], x[order]
-        hit = np.zeros(n, dtype=bool)
+        hit = np.zeros(len(x), dtype=bool)
         hit[order[1:]] = (s[1:] == s[:-1]) & (p[1:] == p[:-1])
-        lit = ch[~hit]
-        head, places = np.bincount(lit[:, 1], minlength=256), np.bincount(slot[hit], minlength=1 << bits)
-        header = SYMBOL_COST * np.count_nonzero(head) + CACHE_COST * np.count_nonzero(places)
-        less = pooled - float(entropy(np.concatenate([head, places]))) - header - cost_of(lit[:, :3:2])
-        if less > saved:
-            saved, coding = less, {"cache_bits": bits}
-    turn = (plan_blocks(width, height) & 1).astype(bool)
-    if pooled - cost_of(ch[turn, :3]) - cost_of(ch[~turn, :3]) - n_blocks - TRANSFORM_COST > saved:
-        coding = {"groups": PLAN_BITS}
-    return ({"transforms": transforms} if transforms else {}) | coding
+        lit, of = ch[~hit], image[~hit]
+        head = np.bincount(of << 8 | lit[:, 1], minlength=k << 8).reshape(k, 256)
+        places = np.bincount(slot[hit], minlength=k << bits).reshape(k, 1 << bits)
+        header = SYMBOL_COST * np.count_nonzero(head, axis=1) + CACHE_COST * np.count_nonzero(places, axis=1)
+        less = pooled - entropy(np.concatenate([head, places], axis=1)) - header - costs(lit[:, :3:2], of, k)
+        for i in np.flatnonzero(less > saved).tolist():
+            saved[i], bits_of[i] = less[i], bits
+    turn = np.concatenate([plan_blocks(width, h) & 1 for h in heights]).astype(bool)
+    groups = pooled - costs(ch[turn, :3], image[turn], k) - costs(ch[~turn, :3], image[~turn], k) - n_blocks - TRANSFORM_COST > saved
+    out: list[dict] = []
+    for i in range(k):
+        own = slice(ends[i] - int(n_blocks[i]), ends[i])
+        predictor, cross = (PREDICTOR, PLAN_BITS, block[own]), (CROSS, PLAN_BITS, m[own])
+        before = (predictor,) if first[i] else ()
+        transforms = ((), (predictor,), ((GREEN,),), (predictor, (GREEN,)), (*before, cross))[choice[i]]
+        coding = {"groups": PLAN_BITS} if groups[i] else {"cache_bits": bits_of[i]} if bits_of[i] else {}
+        out.append(({"transforms": transforms} if transforms else {}) | coding)
+    return out
 
 
 def encode_best(px: np.ndarray, width: int) -> bytes:
-    """The shorter of two files of an opaque image: with palette, copies or plain codes, and with the tools of ``plan``."""
-    plain, how = encode(px, width), plan(px, width)
-    return min(plain, encode(px, width, **how), key=len) if how else plain
+    return encode_each([px], width)[0]
+
+
+def encode_each(images: list[np.ndarray], width: int) -> list[bytes]:
+    """Of each opaque image the shorter of two files: with palette, copies or plain codes, and with the tools of ``plans``."""
+    out, held, rows = [], [], 0
+    for k, px in enumerate(images):
+        held.append(px)
+        rows += len(px) // width
+        if k + 1 == len(images) or len(held) == 64 or rows + len(images[k + 1]) // width > PLAN_ROWS:
+            out += [_shorter(x, width, how) for x, how in zip(held, plans(held, width))]
+            held, rows = [], 0
+    return out
+
+
+def _shorter(px: np.ndarray, width: int, how: dict) -> bytes:
+    if not how:
+        return encode(px, width)
+    other = encode(px, width, **how)
+    if 8 * len(other) < 160 + plain_bits(px) and not copies_of(px) and palette_of(px) is None:
+        return other
+    return min(encode(px, width), other, key=len)
+
+
+def plain_bits(px: np.ndarray) -> int:
+    """Bits that three channels and their codes take with plain codes and nothing else: with the 160 around them no file without copies and palette is shorter."""
+    counts = np.bincount(channels(px)[:, :3].ravel(), minlength=256)
+    lengths = code_lengths(counts)
+    w = Writer()
+    for x in (np.concatenate([lengths, np.zeros(N_LENGTHS, np.uint8)]), lengths, lengths):
+        write_code(w, x)
+    return w.size + (int(counts @ lengths.astype(np.int64)) if np.count_nonzero(lengths) > 1 else 0)
 
 
 def files(raw: bytes) -> Iterator[bytes]:

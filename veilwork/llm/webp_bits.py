@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -71,16 +70,37 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     if len(used) < 2:
         out[used] = 1
         return out
+    used = used[np.argsort(counts[used], kind="stable")]
     weight = counts[used].tolist()
+    n, none = len(weight), 1 << 62
     while True:
-        heap = [(w, i) for i, w in enumerate(weight)]
-        heapq.heapify(heap)
-        n, parent = len(weight), [0] * (2 * len(weight) - 1)
+        # leaves and inner nodes both come in order of weight, so the two lightest are at the front of their queues
+        leaf, inner, parent = [*weight, none, none], [none] * (n + 1), [0] * (2 * n - 1)
+        i = j = 0
         for node in range(n, 2 * n - 1):
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a[1]] = parent[b[1]] = node
-            heapq.heapreplace(heap, (a[0] + b[0], node))
+            a, b = leaf[i], inner[j]
+            if a <= b:
+                parent[i] = node
+                i += 1
+                if leaf[i] <= b:
+                    inner[node - n] = a + leaf[i]
+                    parent[i] = node
+                    i += 1
+                else:
+                    inner[node - n] = a + b
+                    parent[n + j] = node
+                    j += 1
+            else:
+                parent[n + j] = node
+                j += 1
+                if a <= inner[j]:
+                    inner[node - n] = a + b
+                    parent[i] = node
+                    i += 1
+                else:
+                    inner[node - n] = b + inner[j]
+                    parent[n + j] = node
+                    j += 1
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -249,6 +269,25 @@ def _run(v: int, n: int) -> tuple[int, int]:
     return w.value, w.size
 
 
+@lru_cache(maxsize=1)
+def _many_table() -> list[tuple[int, tuple[int, ...], int]]:
+    """For each value of the next 12 bits in the writer's own code of lengths: bits, lengths that are whole in them and
+    precede any repeat, and the last of those that isn't 0."""
+    table, bits = _small_table(bytes(WRITER_LENGTHS))
+    out = []
+    for v in range(1 << 12):
+        at, some, lately = 0, [], 0
+        while at < 12:
+            e = table[(v >> at) & ((1 << bits) - 1)]
+            if e >> 4 > 15 or at + (e & 15) > 12:
+                break
+            at += e & 15
+            some.append(e >> 4)
+            lately = some[-1] or lately
+        out.append((at, tuple(some), lately))
+    return out
+
+
 def _head() -> tuple[int, int]:
     """What precedes the code lengths: the code that they are written in, and that all of them follow."""
     w = Writer()
@@ -289,7 +328,17 @@ def read_code(r: Reader, alphabet: int) -> np.ndarray:
     # 300 symbols of 14 bits at most
     start = r.at
     value, at = r.bits(start, start + 4200), 0
+    many = _many_table() if left == alphabet and kinds.tolist() == WRITER_LENGTHS else None
     while len(lengths) < alphabet and left:
+        if many and len(lengths) + 3 <= alphabet and at <= 3900:
+            n, some, lately = many[value & 4095]
+            if n:  # up to three lengths at once
+                lengths += some
+                last = lately or last
+                left -= len(some)
+                value >>= n
+                at += n
+                continue
         left -= 1
         e = table[value & low]
         n, s = e & 15, e >> 4
