@@ -315,3 +315,13 @@ def test_codes_of_each_row():
     rows = np.stack([wb.code_lengths(RNG.integers(0, 1 << b, 280) * RNG.integers(0, 2, 280)) for b in (1, 2, 9, 20)])
     assert np.array_equal(wb.codes_of_each(rows), np.stack([wb.codes_of(x) for x in rows]))
     assert not wb.codes_of_each(np.zeros((2, 5), np.uint8)).any()
+
+
+def test_images_read_together_have_few_pixels(monkeypatch):
+    """Files that are short but large: as many are taken together as their pixels allow."""
+    images = [np.full(64 * h, webp.OPAQUE, np.uint32) for h in (10, 20, 30, 200, 5, 5)]
+    taken, plain = [], webp._decode_together
+    monkeypatch.setattr(webp, "LANE_PIXELS", 64 * 60)
+    monkeypatch.setattr(webp, "_decode_together", lambda raws: (taken.append(len(raws)), plain(raws))[1])
+    got = [px for _, _, px in webp.decode_each([webp.encode(x, 64) for x in images])]
+    assert taken == [3, 1, 2] and all(np.array_equal(a, b) for a, b in zip(got, images, strict=True))

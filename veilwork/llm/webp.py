@@ -309,8 +309,8 @@ def _stretches(r: Reader, width: int, total: int, codes: Codes, done: int, out:
 
 #: Images read side by side, and the fewest that are; steps kept before their pixels are written.
 LANES, FEW_LANES, LANE_STEPS = 4096, 40, 256
-#: Bytes of files taken together: bounds memory.
-LANE_BYTES = 1 << 23
+#: Bytes of files and pixels taken together (or a single image): bounds memory.
+LANE_BYTES, LANE_PIXELS = 1 << 23, 1 << 23
 #: A copy's first symbol in the tables of images read side by side, whose places of the cache begin at 256.
 LANE_COPY = 256 + (1 << 11)
 
@@ -641,13 +641,17 @@ def decode(raw: bytes) -> tuple[int, int, np.ndarray]:
 
 def decode_each(raws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
     """``decode`` of each file; many are read together."""
-    held, size = [], 0
-    for k, raw in enumerate(raws):
-        held.append(raw)
-        size += len(raw)
-        if k + 1 == len(raws) or len(held) == LANES or size + len(raws[k + 1]) > LANE_BYTES:
+    held, size, area = [], 0, 0
+    for raw in raws:
+        sides = int.from_bytes(raw[21:25], "little")
+        own = ((sides & 0x3FFF) + 1) * ((sides >> 14 & 0x3FFF) + 1)
+        if held and (len(held) == LANES or size + len(raw) > LANE_BYTES or area + own > LANE_PIXELS):
             yield from _decode_together(held)
-            held, size = [], 0
+            held, size, area = [], 0, 0
+        held.append(raw)
+        size, area = size + len(raw), area + own
+    if held:
+        yield from _decode_together(held)
 
 
 def _decode_together(raws: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
