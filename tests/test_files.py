@@ -250,3 +250,83 @@ def test_numbered_rows(spark):
     df = spark.createDataFrame([((37 * i) % 1000, str(i)) for i in range(1000)] + [(10**12, "far")], "k long, v string")
     assert sorted((r.k, r.n) for r in tabular.numbered(df, "k", "n", 8).collect()) == [(i, i + 1) for i in range(1000)] + [(10**12, 1001)]
     assert tabular.numbered(df.limit(0), "k", "n").collect() == []
+
+
+def test_files_are_made_once(spark):
+    from veilwork.plans import archives
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = [("/in/a.docx", archives.docx([["call (303) 555-01", "42"], ["none"]])), ("/in/b.xlsx", xlsx()), ("/in/c.docx", b"bad"), ("/in/d.txt", b"")]
+    paths = spark.createDataFrame([(p,) for p, _ in rows], "path string")
+    found = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").mapInPandas(make, "path string, content binary")
+    got = {r.file_id: r for r in redact.masked_found(found, out_dir="/out", paths=paths).collect()}
+    assert made.value == 4
+    assert [r for _, r in ooxml.docx_units(got["/in/a.docx"].content)] == [["call [REDACTED]", ""], ["none"], ["none"]]
+    assert got["/in/b.xlsx"].per_category == {"addresses": 2, "emails": 1, "names": 4, "ssn": 1}
+    assert "BadZipFile" in got["/in/c.docx"].error and got["/in/d.txt"].error == "Unsupported file type: .txt"
+    assert got["/in/d.txt"].out == "/out/d_REDACTED.txt" and got["/in/c.docx"].content is None
+    same = redact.masked_found(found, out_dir="/out", out_path={"x": "/out/one"}, paths=paths).collect()
+    assert sorted(str(r.error)[:11] for r in same)[-1] == "Unsupported" and sum("shared by" in str(r.error) for r in same) == 3
+
+
+def test_long_sheets_are_taken_piece_by_piece():
+    import tracemalloc
+
+    from veilwork.plans import archives
+
+    rows = 30_000
+    cells = lambda: ((r, c, *(("string", f"name {r}") if c == 1 else ("number", str(r)))) for r in range(1, rows + 1) for c in (1, 2))
+    tracemalloc.start()
+    raw = archives.xlsx(cells())
+    n = sum(1 for _ in ooxml.xlsx_cells(raw))
+    done = ooxml.xlsx_masked(raw, (("Sheet1", 2 * r, "gone") for r in range(rows)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 * rows and peak < 24_000_000
+    assert list(ooxml.xlsx_cells(done))[-2:] == [("Sheet1", rows, 1, "string", "gone"), ("Sheet1", rows, 2, "number", str(rows))]
+    with zipfile.ZipFile(io.BytesIO(done)) as z:
+        assert b"name" not in z.read("xl/sharedStrings.xml")
+
+
+def test_sheets_with_prefixes_and_empty_cells():
+    x = S_NS.replace("xmlns=", "xmlns:x=")
+    sheet = (
+        f"""<?xml version="1.0" encoding="ENC"?><x:worksheet {x}><x:row r="12"><x:c r='A12' t='s'><x:v>0</x:v></x:c><x:c r="B12"/><x:c r="C12"></x:c>"""
+        '<x:c r="D12" t="inlineStr"><x:is><x:r><x:t>a</x:t></x:r><x:r><x:t>\xe9</x:t></x:r></x:is></x:c></x:row><x:row r="3"><x:c r="A3" t="s"><x:v>1</x:v></x:c></x:row></x:worksheet>'
+    )
+    for encoding in ("utf-8", "utf-16", "iso-8859-1"):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(xlsx())) as z, zipfile.ZipFile(out, "w") as to:
+            for n in z.namelist():
+                to.writestr(n, sheet.replace("ENC", encoding).encode(encoding) if n.endswith("sheet1.xml") else z.read(n))
+        found = list(ooxml.xlsx_numbered(out.getvalue()))
+        assert found == [("One", 0, 12, 1, "string", "Name"), ("One", 3, 12, 4, "string", "a\xe9"), ("One", 4, 3, 1, "string", "Email")]
+        assert list(ooxml.xlsx_numbered(out.getvalue(), rows=10)) == found[2:]
+        done = ooxml.xlsx_masked(out.getvalue(), [("One", 3, "<&>"), ("One", 4, "new")])
+        assert [c[2:] for c in ooxml.xlsx_cells(done)] == [(1, "string", "Name"), (4, "string", "<&>"), (1, "string", "new")]
+
+
+def test_runs_inside_runs_are_edited():
+    inner = para("555-0142 in a box")
+    body = f'<w:document {W_NS}><w:body><w:p><w:r><w:t>out</w:t><w:box>{inner}</w:box><w:tab/></w:r><w:r/></w:p></w:body></w:document>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", body)
+    assert [r for _, r in ooxml.docx_units(out.getvalue())] == [["out\t", ""], ["555-0142 in a box"]]
+    done = ooxml.docx_masked(out.getvalue(), {0: ["a<b", ""], 1: ["[X] in a box"]})
+    assert [r for _, r in ooxml.docx_units(done)] == [["a<b", ""], ["[X] in a box"]]
+
+
+def test_short_rows_are_dealt_over_many_tasks(spark, tmp_path):
+    from veilwork.plans import samples
+
+    spark.range(40_000).selectExpr("id as o_orderkey", "id as o_custkey", "date'2024-01-02' as o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = samples.units(spark, str(tmp_path), samples.MIXED)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 40_000 and max(r["count"] for r in sizes) <= 2 * report.TASK_TEXTS and len(sizes) >= 5
