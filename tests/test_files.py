@@ -330,3 +330,14 @@ def test_short_rows_are_dealt_over_many_tasks(spark, tmp_path):
     got = samples.units(spark, str(tmp_path), samples.MIXED)
     sizes = got.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 40_000 and max(r["count"] for r in sizes) <= 2 * report.TASK_TEXTS and len(sizes) >= 5
+
+
+def test_runs_and_spans_of_a_row(spark):
+    run_rows = [(1, i, t) for i, t in enumerate(["abc", "", "defg", "h"])]
+    spans = [(1, 1, 4, "x"), (1, 4, 5, "y"), (1, 7, 8, "z")]
+    rows = runs.run_positions(spark.createDataFrame(run_rows, "k int, run_ord int, text string"), "k")
+    joined = runs.overlaps(rows, spark.createDataFrame(spans, "k int, start int, end int, category string"), "k")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    one = spark.createDataFrame([([t for *_, t in run_rows], [x[1:] for x in spans])], "runs array<string>, s array<struct<start:int,end:int,category:string>>")
+    got = one.select(F.inline(runs.touching(F.col("runs"), F.col("s"))))
+    assert sorted(map(tuple, got.collect())) == sorted((r.run_ord, r.start, r.end, r.category) for r in joined.collect())
